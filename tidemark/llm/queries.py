@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, token_files
+from tidemark.llm import bpe, jaccard, token_files
 from tidemark.llm.common import table
 
 #: The vocabulary file of operators 6 and 10.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), TOKENIZER)
 
