@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import Splitter
 from tidemark.llm.common import chunks, cut, shared_dir, texts
+from tidemark.llm.units import Units
 
 MAGIC = b"TIDEPK01"
 BLOCK = 4096
 #: Ids after which a file is closed and the next begun.
 FILE_IDS = 16 << 20
-MEMORY = 400_000
 MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
 
 
@@ -120,24 +121,45 @@ def get(path: str) -> bytes:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word."""
+    """The tokenizers library, asked once for each distinct unit."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.split = Splitter(path)
-        self.known: dict[str, bytes] = {}
-        self.vocab_size = self.split.library.get_vocab_size(with_added_tokens=True)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
+        specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.encode = Units(self.learn, self.whole, specials)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def learn(self, units: list[str]) -> list[bytes]:
+        """Units with white space only in front go to the library as lines of one text, split again at the line ends."""
+        out: list[bytes] = [b""] * len(units)
+        lines, places = [], []
+        for i, u in enumerate(units):
+            if u[1:].isalnum() or len(u.split()) == 1 and not u[1:2].isspace() and not u[-1].isspace():
+                lines.append(u[1:] if u[0] == "\n" else u)
+                places.append(i)
+            else:
+                out[i] = self.whole(u)
+        line = self.encode.line
+        for at in range(0, len(lines), 20_000):
+            part = lines[at : at + 20_000]
+            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == np.frombuffer(line, "<u4")[0]), len(ids))
+            if len(ends) != len(part):
+                raise AssertionError("lines and units differ")
+            raw, a = ids.tobytes(), 0
+            for i, z in zip(places[at : at + 20_000], (ends * 4).tolist(), strict=True):
+                out[i] = line + raw[a:z] if units[i][0] == "\n" else raw[a:z]
+                a = z + 4
+        return out
 
     def __call__(self, docs: list[str]) -> list[bytes]:
-        """Words are encoded alone as in their text: the library, too, cuts a text into these words first."""
-        pieces = [self.split(t) for t in docs]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list({w for p in pieces for w in p}.difference(self.known))
-        for w, e in zip(new, self.split.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        of = self.known.__getitem__
-        return [b"".join(map(of, p)) for p in pieces]
+        return self.encode(docs)
 
 
 @lru_cache(2)
