@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from tidemark.llm.common import chunks, texts
 
@@ -194,15 +195,14 @@ def encode_texts(path: str, docs: list[str]) -> list[bytes]:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of token ids (array<int>), the decoded text and its pieces' count left to the caller.
+    """df with a column of token ids (array<int>), in place of any column of that name.
 
     A null text has no ids, as an empty one. Special tokens in a text become their own ids. Rows stay where
     they are: no shuffle, and a worker's memory is bounded by MEMORY words and one Arrow batch. Repeated rows
-    give repeated results. Raises ValueError if df already has a column named `ids`.
+    give repeated results, an empty table none.
     """
-    if ids in df.columns:
-        raise ValueError(f"column {ids} exists already")
-    schema = df.schema.add(ids, "array<int>")
+    df = df.drop(ids) if ids != text else df
+    schema = StructType(list(df.schema.fields)).add(ids, "array<int>")
 
     def run(batches):
         for whole in batches:
@@ -212,9 +212,22 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
                 ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*b.schema.names, ids])
 
-    from pyspark.sql.types import StructType
+    return df.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, StructType(schema.fields))
+
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """df with the text that each row's ids stand for, in place of any column of that name; null ids give null."""
+    df = df.drop(text) if ids != text else df
+    schema = StructType(list(df.schema.fields)).add(text, "string")
+
+    def run(batches):
+        trie = _worker(path)[1]
+        for b in batches:
+            col = b.column(b.schema.get_field_index(ids))
+            out = [None if x is None else trie.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in col.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
+
+    return df.mapInArrow(run, schema)
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:

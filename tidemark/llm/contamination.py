@@ -92,14 +92,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHING
     return met, wins
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
-
-    A word is hit if it lies in any occurrence of an item's window. Null and empty texts have no words and no hits;
-    null, empty and wordless items have no windows; null item ids are not named. Repeated items name their id once,
-    repeated documents give repeated rows. Empty tables give no rows, or rows without hits. Other columns of either
-    table are not looked at.
-    """
+def per_text(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """k1, k2, n_hit, n_items, names (sorted ids, comma-joined) of each distinct text with a hit."""
     met, wins = hits(docs, items, window, k, item_id, text, item_text)
     # words under the union of [start, start + len) of one text
     order = Window.partitionBy("k1", "k2").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
@@ -109,6 +103,26 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     named = named.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("item")).alias("items"))
     per = covered.join(named, ["k1", "k2"], "left")
     per, _ = cut(per.select("k1", "k2", "n_hit", F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.array_join("items", ",").alias("names")), "per_text")
+    return per
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, item_id: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
+    """The rows of docs without any hit word, with all their columns as they are."""
+    found = per_text(docs, items, window, k, item_id, text, item_text).select("k1", "k2")
+    found = F.broadcast(found) if bounded(found, BROADCAST_ROWS) else found
+    marked = docs.select(F.struct(F.lit(True).alias("given"), *(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *text_keys(text))
+    return marked.join(found, ["k1", "k2"], "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHINGLE, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
+
+    A word is hit if it lies in any occurrence of an item's window. Null and empty texts have no words and no hits;
+    null, empty and wordless items have no windows; null item ids are not named. Repeated items name their id once,
+    repeated documents give repeated rows. Empty tables give no rows, or rows without hits. Other columns of either
+    table are not looked at.
+    """
+    per = per_text(docs, items, window, k, item_id, text, item_text)
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), *text_keys(text), F.size(words(t)).cast("long").alias("n_words"))
     if bounded(per, BROADCAST_ROWS // 10):

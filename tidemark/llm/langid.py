@@ -197,12 +197,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     lang_pred is `und`, score 0 and rejected true where the text is null or has no letter, or no language was
     learned. score is the winner's share of the likelihoods per 40 characters. rejected is also true for texts far
     less likely in their best language than any text the model was fitted on. Ties go to the first language in
-    alphabetical order. Raises ValueError if a kept column has a result's name.
+    alphabetical order. A kept column with a result's name gives way to the result.
     """
-    keep = docs.columns if keep is None else keep
     new = ["lang_pred", "score", "cross_entropy", "rejected"]
-    if set(new) & set(keep):
-        raise ValueError(f"columns exist already: {sorted(set(new) & set(keep))}")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     share = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("__text"))
 

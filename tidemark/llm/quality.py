@@ -133,11 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
 def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs, then score and predicted, for every row; null and empty texts score as zero features.
 
-    Raises ValueError if a kept column has a result's name.
+    A kept column with a result's name gives way to the result.
     """
-    keep = docs.columns if keep is None else keep
-    if {"score", "predicted"} & set(keep):
-        raise ValueError("columns score and predicted are results")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     share = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col(text).alias("__text"))
 
