@@ -27,8 +27,9 @@ SAMPLE = 1200
 LANGUAGES = 1000
 MEMORY = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A language is rejected if the cross-entropy lies further above its usual one than this times the furthest training text.
-SLACK = 1.5
+#: A text is rejected if its cross-entropy has gone this part of the way from its language's usual one to that of the
+#: language's words with their letters shuffled, four spreads for its length left aside.
+SLACK = 0.6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +57,7 @@ class Model:
     floor: np.ndarray  # probability of any character, by language
     usual: np.ndarray  # mean cross-entropy of training texts, and its spread for one character
     spread: np.ndarray
-    furthest: np.ndarray
+    shuffled: np.ndarray  # cross-entropy of its words with shuffled letters
 
 
 class Scorer:
@@ -167,13 +168,16 @@ def fit(samples: dict[str, list[str]]) -> Model:
             h = -total[keep, j] / chars[keep]
             model.usual[j] = np.average(h, weights=chars[keep])
             model.spread[j] = max(1e-3, np.sqrt(np.mean((h - model.usual[j]) ** 2 * chars[keep])))
-            model.furthest[j] = max(1.0, _distance(model, j, h, chars[keep]).max())
+            rng = np.random.default_rng(3)
+            words = sorted({w for t in samples[lang] for w in LETTERS.findall(t.lower())})[:: max(1, len(samples[lang]) // 50)]
+            mixed = ["".join(rng.permutation(list(w))) for w in words]
+            model.shuffled[j] = max(model.usual[j] + 0.5, -scorer.words(mixed)[:, j].sum() / (sum(map(len, mixed)) + len(mixed)))
     return model
 
 
-def _distance(model: Model, j, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """How far a cross-entropy lies above the usual, in spreads for its length plus a twentieth of a nat."""
-    return (h - model.usual[j]) / (model.spread[j] / np.sqrt(chars) + 0.05)
+def _far(model: Model, j, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Whether a text is too unlikely even in its best language."""
+    return h - 4 * model.spread[j] / np.sqrt(chars) > model.usual[j] + SLACK * (model.shuffled[j] - model.usual[j])
 
 
 def train(docs: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Model:
@@ -195,8 +199,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     """The columns `keep` of docs, then lang_pred, score, cross_entropy and rejected, for every row.
 
     lang_pred is `und`, score 0 and rejected true where the text is null or has no letter, or no language was
-    learned. score is the winner's share of the likelihoods per 40 characters. rejected is also true for texts far
-    less likely in their best language than any text the model was fitted on. Ties go to the first language in
+    learned. score is the winner's share of the likelihoods per 40 characters. rejected is also true for texts about as
+    unlikely in their best language as words of shuffled letters. Ties go to the first language in
     alphabetical order. A kept column with a result's name gives way to the result.
     """
     new = ["lang_pred", "score", "cross_entropy", "rejected"]
@@ -216,7 +220,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                     h = -total[np.arange(n), best] / np.maximum(1, chars)
                     gap = (total - total[np.arange(n), best][:, None]) * (np.minimum(40, chars) / np.maximum(1, chars))[:, None]
                     sure = 1 / np.exp(np.maximum(gap, -50)).sum(1)
-                    far = _distance(m, best, h, np.maximum(1, chars)) > SLACK * m.furthest[best]
+                    far = _far(m, best, h, np.maximum(1, chars))
                     names = [m.languages[j] if c else "und" for j, c in zip(best, chars, strict=True)]
                 else:
                     h, sure, far, names = np.zeros(n), np.zeros(n), np.ones(n, bool), ["und"] * n
