@@ -12,7 +12,7 @@ from tidemark.functions import scalars, timeparts
 from tidemark.operators import ml, pca, profile, resample, sampling, segments, store, windows
 from tidemark.plans import queries as engine
 from tidemark.plans.registry import Registry, Resource, standard
-from tidemark.sources import codecs, npy
+from tidemark.sources import codecs, files, npy
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -270,6 +270,32 @@ def test_segments_split(spark):
     assert s.count() == 4 and [r["x"] for r in segments.decode_segments(s, ["x"]).orderBy("r").collect()] == list(range(1000))
 
 
+def test_files(spark, tmp_path):
+    told = []
+    f = files.Files(spark, str(tmp_path), lambda path, event: told.append((path.split("/")[-1], event)))
+    f.put("m/model.csv", b"x" * 2500)
+    f.put("m/model.csv", b"y" * 2500)
+    assert f.get("m/model.csv") == b"y" * 2500 and [r["name"] for r in files.list_files(spark, f"{tmp_path}/m").where("name not like '.%'").collect()] == ["model.csv"]
+    blocks = files.read_files(spark, f"{tmp_path}/m").orderBy("i").collect()
+    assert [len(b["data"]) for b in blocks] == [1024, 1024, 452]
+    f.delete("m/model.csv")
+    assert told == [("model.csv", "put"), ("model.csv", "put"), ("model.csv", "delete")]
+    for bad in (lambda: f.get("none"), lambda: f.delete("none"), lambda: f.put("../out", b""), lambda: files.list_files(spark, f"{tmp_path}/none"), lambda: files.safe_path("/b", "")):
+        with pytest.raises(ValueError):
+            bad()
+    assert files.safe_path("/b", "a/../c") == "/b/c"
+
+
+def test_compact_parquet_is_delta_packed(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files.write_compact(spark.range(5000).select(F.col("id").cast("short").alias("x")), f"{tmp_path}/c")
+    col = pq.ParquetFile(glob.glob(f"{tmp_path}/c/*.parquet")[0]).metadata.row_group(0).column(0)
+    assert col.compression == "GZIP" and "DELTA_BINARY_PACKED" in col.encodings
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -22,9 +22,9 @@ def covariance(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def centred(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with the columns' means taken off; the means are one broadcast row."""
-    means = df.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns))
-    return df.crossJoin(F.broadcast(means)).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in columns}).drop(*(f"__m_{c}" for c in columns))
+    """df with the columns' means taken off; the means are one row that the driver reads first."""
+    means = column_means(df, columns).first()
+    return df.withColumns({c: F.col(c) - F.lit(means[c]) for c in columns})
 
 
 @dataclass

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars, timeparts
-from tidemark.operators import ml, pca, profile, resample, sampling, segments, store, windows
+from tidemark.operators import asof, ml, pca, profile, resample, sampling, segments, store, windows
 from tidemark.plans.registry import Registry, Resource
 from tidemark.plans.tables import shared, table, written
+from tidemark.sources import files
 from tidemark.streaming import features as stream
 
 #: Fixed test ranges, in epoch seconds.
@@ -394,3 +395,24 @@ def query_counters(spark, d):
     """What a range query read: rows, partitions and the bytes of its int16 column."""
     rows = store.in_range(store.with_partitions(events(spark, d), EVENTS), EVENTS, START, END)
     return rows.agg(F.count("*").alias("rows_read"), F.countDistinct("date", "hour").alias("partitions"), (F.count("v") * 2).alias("bytes"))
+
+
+@query("""SELECT l.event_id, l.user_id, r.event_id AS asof_event_id, r.value AS asof_value FROM (SELECT * FROM events WHERE event_id % 2 = 0) l
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_join(spark, d):
+    """Two tables on one time axis: each even event with its user's newest odd one."""
+    rows = events(spark, d).select("event_id", "user_id", "ts", "value")
+    out = asof.asof_join(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", ["event_id", "value"])
+    return out.select("event_id", "user_id", "asof_event_id", "asof_value")
+
+
+@query(f"WITH {SAMPLES} SELECT r, CAST(x AS SMALLINT) AS x, CAST(y AS SMALLINT) AS y, CAST(z AS SMALLINT) AS z FROM samples")
+def compact_parquet_roundtrip(spark, d):
+    path = shared(spark, "compact")
+    files.write_compact(samples(spark, d).select("r", *(F.col(c).cast("short").alias(c) for c in "xyz")), path)
+    return spark.read.parquet(path)
+
+
+@query()
+def file_listing(spark, d):
+    return files.list_files(spark, d)
