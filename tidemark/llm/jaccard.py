@@ -7,13 +7,16 @@ similarity share a token in the first n - ceil(t n) + 1 of each: these prefixes
 Relations between sets save the rest of the work:
 
 * index level: a list is kept in blocks by set size, and a probe opens only the blocks whose sizes can match; inside
-  them, positions bound the overlap that is still possible, and a pair below its need is left without a look at sets;
-* answer level: every list first meets one pivot set, the one that shares most of its prefix. Sets that link to one
-  pivot are joined already, so no pair among them is ever made; and from the overlaps of two sets with their common
-  pivot, |a & b| <= min(o_a, o_b) + min(n_a - o_a, n_b - o_b) refuses pairs without reading them.
-
-What is left are pairs of a list whose sets lie in different components. They are all examined, so components are
-exact; a group of n near copies costs about n comparisons and not their square.
+  them positions bound the overlap: up to a common token at places pa and pb two sets share at most the tokens
+  before it that stand in any other prefix at all, and behind it at most the shorter rest;
+* answer level: every list names a pivot, the set that shares most of its prefix, and sets whose lists agree on a
+  pivot are solved together in its bucket. There a set is what it lacks of the bucket's common tokens and what it has
+  beyond them, and the overlaps of all its sets follow from these small differences by matrix products:
+  |a & b| = common - lacks(a) - lacks(b) + |lacks a & lacks b| + |beyond a & beyond b|. Only a spanning tree of each
+  component leaves the task. A bucket of more than BLOCK shingles is solved in pairs of blocks.
+
+What is left are pairs of a list whose sets lie in different components and never met in a bucket. They are all
+examined, so components are exact. Pairs inside components or buckets are never made.
 """
 
 from __future__ import annotations
@@ -25,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded, chunks, cut, drop, offsets_and_bytes, text_keys
 from tidemark.llm.components import connected
-from tidemark.llm.words import Lookup, sequence_hash, shingles, word_hashes
+from tidemark.llm.words import Lookup, frequent, sequence_hash, shingles, word_hashes
 
 #: Most frequent words whose counts order the shingles; the rest count as equally rare. 3 MB on each worker.
 HEAD = 1 << 18
-#: Star rounds go on while more pairs than this share of the list entries would remain for the last round.
-PAIRS_PER_ENTRY = 4
-STARS = 6
+#: Rounds of buckets: a second and third only if more than PAIRS_PER_ENTRY pairs for each list entry remain.
+ROUNDS, PAIRS_PER_ENTRY = 3, 30
+#: Shingles of a block of a bucket.
+BLOCK = 200_000
+#: Tokens of at most so many sets of a bucket are counted pair by pair, others by matrix products.
+FEW = 12
 #: Rows of the table of documents to compare that may be broadcast: 60 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -51,8 +57,10 @@ def frequent_words(rows: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.nd
                 h, n = np.unique(words, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    got = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(head).toPandas()
-    return got.h.to_numpy(np.int64).view(np.uint64), got.n.to_numpy(np.int64)
+    counts, path = cut(rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word_counts")
+    got = frequent(counts, head)
+    drop(rows.sparkSession, path)
+    return got
 
 
 class Shingler:
@@ -78,6 +86,16 @@ class Shingler:
         return out
 
 
+_ready: list = []
+
+
+def _shingler(k: int, head) -> Shingler:
+    """The worker's shingler for this broadcast; groups are many and its tables not free."""
+    if not _ready or _ready[0] is not head.value or _ready[1] != k:
+        _ready[:] = [head.value, k, Shingler(k, head.value)]
+    return _ready[2]
+
+
 def _need(num: int, den: int):
     """Least overlap of sets of na and nb tokens that reaches num / den."""
     return F.expr(f"(({num}L * (na + nb) + {num + den - 1}) div {num + den})")
@@ -90,7 +108,7 @@ def sign(rows: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
     """
 
     def run(batches):
-        make, met = Shingler(k, head.value), set()
+        make, met = _shingler(k, head), set()
         for whole in batches:
             for b in chunks(whole, "text"):
                 sets = make(b.column(1))
@@ -113,116 +131,214 @@ def sign(rows: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, uid binary, prefix array<long>")
 
 
-def overlaps(pairs: DataFrame, rows: DataFrame, sig: DataFrame, k: int, head) -> DataFrame:
-    """(a, b, o) for pairs of classes (a, b, ...): o is the true overlap of their whole sets.
-
-    The text of one document of each class is read again; each pair meets its two texts by two joins.
-    """
-    spark = rows.sparkSession
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    own = sig.join(classes, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("r")).select("uid", "r.*")
+def _texts(uids: DataFrame, rows: DataFrame, sig: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(uid, text) of one document of each class named; and the paths of the tables behind it."""
+    own = sig.select("uid", "doc_id", "k1", "k2").join(uids, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("r")).select("uid", "r.*")
     own, own_path = cut(own, "wanted")
     wanted = F.broadcast(own) if bounded(own, BROADCAST_ROWS) else own
     same = rows["k1"].eqNullSafe(wanted["k1"]) & rows["k2"].eqNullSafe(wanted["k2"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-    whole = rows.join(wanted, same).select("uid", "text").dropDuplicates(["uid"])
-    whole, whole_path = cut(whole, "texts")
-    both = pairs.join(whole.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    whole, path = cut(rows.join(wanted, same).select("uid", "text").dropDuplicates(["uid"]), "texts")
+    return whole, [own_path, path]
+
+
+def overlaps(pairs: DataFrame, rows: DataFrame, sig: DataFrame, k: int, head) -> DataFrame:
+    """(a, b, na, nb, o) for pairs of classes (a, b, na, nb): o is the true overlap of their whole sets."""
+    whole, paths = _texts(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), rows, sig)
+    both = pairs.join(whole.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb")
 
     def run(batches):
-        make, kept = Shingler(k, head.value), OrderedDict()
+        make, kept = _shingler(k, head), OrderedDict()
         for whole in batches:
             for b in chunks(whole, "ta"):
-                left, right, new = make(b.column(2)), b.column(1).to_pylist(), {}
+                left, right, new = make(b.column(4)), b.column(1).to_pylist(), {}
                 for i, uid in enumerate(right):
                     if uid not in kept and uid not in new:
                         new[uid] = i
                 if new:
-                    for uid, s in zip(new, make(b.column(3).take(pa.array(list(new.values())))), strict=True):
+                    for uid, s in zip(new, make(b.column(5).take(pa.array(list(new.values())))), strict=True):
                         kept[uid] = s
                 o = [len(np.intersect1d(x, kept[uid], assume_unique=True)) for x, uid in zip(left, right, strict=True)]
                 while len(kept) > 64:
                     kept.popitem(last=False)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(o, pa.int64())], ["a", "b", "o"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(o, pa.int64())], ["a", "b", "na", "nb", "o"])
 
-    out, _ = cut(both.mapInArrow(run, "a binary, b binary, o long"), "overlaps")
-    drop(spark, own_path, whole_path)
+    out, _ = cut(both.mapInArrow(run, "a binary, b binary, na long, nb long, o long"), "overlaps")
+    drop(rows.sparkSession, *paths)
     return out
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs: links are den * |A & B| >= num * |A or B|.
+def all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Overlaps [set, set] of all the sets of a bucket, from their differences to its common tokens; the diagonal is void."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+
+    def add(columns: np.ndarray, lacking: bool) -> None:
+        """Dense products, some columns at a time."""
+        place = np.full(len(times), -1)
+        for at in range(0, len(columns), 2048):
+            part = columns[at : at + 2048]
+            place[part] = np.arange(len(part))
+            here = place[token] >= 0
+            x = np.zeros((m, len(part)), np.float32)
+            x[owner[here], place[token[here]]] = 1
+            place[part] = -1
+            if lacking:
+                x = 1 - x
+                lacks = x.sum(1)
+                out[:] += len(part) - lacks[:, None] - lacks[None, :]
+            out[:] += x @ x.T
+
+    add(np.flatnonzero((times > m / 2) & (times > 1)), True)
+    add(np.flatnonzero((times <= m / 2) & (times > FEW)), False)
+    few = (times > 1) & (times <= FEW) & (times <= m / 2)
+    here = few[token]
+    order = np.lexsort((owner[here], token[here]))
+    who, what = owner[here][order], token[here][order]
+    codes = []
+    for d in range(2, FEW + 1):
+        group = who[times[what] == d].reshape(-1, d)
+        codes += [group[:, i] * m + group[:, j] for i in range(d) for j in range(i + 1, d)] if len(group) else []
+    if codes:
+        pairs = np.bincount(np.concatenate(codes), minlength=m * m).reshape(m, m).astype(np.float32)
+        out += pairs + pairs.T
+    return out
 
-    Words are split at white space with A-Z lowered; a text of fewer words than k is one shingle, and a null or
-    empty text has none, links to nothing and is its own component. component_id is the smallest doc_id of the
-    component; null ids take part but never name one, unless all are null. Repeated rows give repeated results.
-    Other columns of docs are not looked at. An empty table gives no rows.
-    """
+
+def solve_buckets(members: DataFrame, rows: DataFrame, sig: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
+    """Links (u, v) that span the components inside each bucket of members (uid, n, bucket)."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
+    placed = members.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("i")))
+    placed = placed.withColumn("j", F.explode(other)).select("uid", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    placed, placed_path = cut(placed, "placed")
+    whole, paths = _texts(placed.select("uid").distinct(), rows, sig)
+
+    def solve(t: pa.Table) -> pa.Table:
+        uids, sets = t.column("uid").to_pylist(), _shingler(k, head)(t.column("text").combine_chunks())
+        m = len(sets)
+        label = np.arange(m)
+        if m > 1:
+            size = np.array([len(x) for x in sets], np.float64)
+            linked = all_overlaps(sets).astype(np.float64) * (num + den) >= num * (size[:, None] + size[None, :]) - 1e-6
+            np.fill_diagonal(linked, True)
+            while True:
+                new = np.where(linked, label[None, :], m).min(1)
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+        at = np.flatnonzero(label != np.arange(m))
+        return pa.table({"u": pa.array([uids[i] for i in at], pa.binary()), "v": pa.array([uids[label[i]] for i in at], pa.binary())})
+
+    links, _ = cut(placed.join(whole, "uid").groupBy("bucket", "i", "j").applyInArrow(solve, "u binary, v binary"), "bucket_links")
+    drop(rows.sparkSession, placed_path, *paths)
+    return links
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
+    """doc_id, k1, k2, n, uid and comp (the class that names the component; null for empty sets) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *text_keys(text))
     head = spark.sparkContext.broadcast(frequent_words(rows))
     sig, _ = cut(sign(rows, k, num, den, head), "sets")
     entries = sig.where("prefix is not null").select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
-    lists, lists_path = cut(entries.join(shared, "token").groupBy("token", "uid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "lists")
-    prefix = F.expr(f"max(n) - (max(n) * {num}L + {den - 1}) div {den} + 1")
-    nodes, nodes_path = cut(lists.groupBy("uid").agg((F.count("*") / prefix).alias("share")).select("uid", "share", F.col("uid").alias("comp"), F.lit(None).cast("binary").alias("pv"), F.lit(0).cast("long").alias("po")), "nodes")
+    own = F.xxhash64("uid")
+    shared = entries.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select("token")
+    lists = entries.join(shared, "token").groupBy("token", "uid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    # before: tokens in front of this one that other prefixes have too
+    lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1)
+    lists, lists_path = cut(lists, "lists")
+    nodes = lists.groupBy("uid").agg(F.max("n").alias("n"), (F.count("*") / F.max("n")).alias("share"))
+    nodes, nodes_path = cut(nodes.select("uid", "n", "share", F.col("uid").alias("comp"), F.array().cast("array<binary>").alias("met")), "nodes")
     n_entries = lists.count()
-    seen = None
-    block = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int")
-
-    def sift(found: DataFrame, every: bool) -> DataFrame:
-        """Pairs that can still reach their need, and that weren't compared before.
-
-        Behind the last common prefix token lie the rest of both sets; up to it, the common tokens are those found
-        if the lists were searched for every one, and else as many as there are places.
-        """
-        upto = F.col("c") if every else F.least("ma", "mb") + 1
-        bound = upto + F.least(F.col("na") - F.col("ma"), F.col("nb") - F.col("mb")) - 1
-        got = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("ma"), F.max("pb").alias("mb"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(bound >= _need(num, den)).select("a", "b", "na", "nb")
-        return got.join(seen.select("a", "b"), ["a", "b"], "left_anti") if seen is not None else got
-
-    for star in range(STARS + 1):
-        known = lists.join(nodes, "uid")
-        per = known.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count("*").alias("comps")).where("comps > 1")
-        cross = per.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if not cross:
-            break
-        last = star > 0 and (cross <= PAIRS_PER_ENTRY * n_entries or star == STARS)
-        if not last:
-            pivot = F.max(F.struct("share" if star == 0 else F.lit(0).alias("share"), F.xxhash64("uid", F.lit(star)).alias("h"), "uid", "n", "pos", "comp"))
-            pivots = known.groupBy("token").agg(pivot.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", F.col("p.uid").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.comp").alias("cb"))
-            found = known.join(pivots, "token").where((F.col("comp") != F.col("cb")) & (F.col("nb") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("nb") * den))
-            found = found.select(F.col("uid").alias("a"), "b", F.col("n").alias("na"), "nb", F.col("pos").alias("pa"), "pb")
-        else:
-            open_lists = known.join(per.select("token"), "token")
-            left = open_lists.where(F.expr(f"pos < n - (2 * {num}L * n + {num + den - 1}) div {num + den} + 1")).select("token", block.alias("block"), F.col("uid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("pv").alias("va"), F.col("po").alias("oa"))
-            right = open_lists.select("token", F.explode(F.array(block, block - 1)).alias("block"), F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("pv").alias("vb"), F.col("po").alias("ob"))
-            need = _need(num, den)
-            by_pivot = (F.col("va") != F.col("vb")) | (F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob")) >= need)
-            found = left.join(right, ["token", "block"]).where(((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("ca") != F.col("cb")) & (F.col("nb") * num <= F.col("na") * den) & F.coalesce(by_pivot, F.lit(True)))
-            found = found.where(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 + F.least("pa", "pb") >= need).select("a", "b", "na", "nb", "pa", "pb")
-        pairs, pairs_path = cut(sift(found, last), "pairs")
-        met = pairs.join(overlaps(pairs, rows, sig, k, head), ["a", "b"])
-        met, _ = cut(met.withColumn("linked", F.expr(f"o >= ({num}L * (na + nb) + {num + den - 1}) div {num + den}")), "met")
-        drop(spark, pairs_path)
-        seen = met if seen is None else seen.unionByName(met)
+    need = _need(num, den)
+    fits = (F.col("nb") * num <= F.col("na") * den) & (F.col("na") * num <= F.col("nb") * den)
+    possible = fits & (F.least("va", "vb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need)
+
+    def join_components(links: DataFrame, extra) -> None:
+        """Update the nodes by links between classes."""
+        nonlocal nodes, nodes_path
         comp = nodes.select("uid", "comp")
-        links = met.where("linked").join(comp.select(F.col("uid").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("uid").alias("b"), F.col("comp").alias("v")), "b").select("u", "v")
-        roots = connected(links)
-        # the closest pivot of each set so far, itself for a pivot
-        best = met.select(F.col("a").alias("uid"), F.col("b").alias("v"), "o").unionByName(met.select(F.col("b").alias("uid"), F.col("b").alias("v"), F.col("nb").alias("o"))).groupBy("uid").agg(F.max(F.struct("o", "v")).alias("q"))
-        new = nodes.join(roots, nodes["comp"] == roots["node"], "left").join(best, "uid", "left")
-        closer = F.col("q.o") > F.col("po")
-        new = new.select("uid", "share", F.coalesce("root", "comp").alias("comp"), F.when(closer, F.col("q.v")).otherwise(F.col("pv")).alias("pv"), F.when(closer, F.col("q.o")).otherwise(F.col("po")).alias("po"))
-        nodes, new_path = cut(new, "nodes")
+        ends = links.join(comp.select(F.col("uid").alias("u"), F.col("comp").alias("cu")), "u").join(comp.select(F.col("uid").alias("v"), F.col("comp").alias("cv")), "v")
+        roots = connected(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        new = extra(nodes.join(roots, nodes["comp"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "comp")))
+        new, path = cut(new.select("uid", "n", "share", "comp", "met"), "nodes")
         drop(spark, nodes_path)
-        nodes_path = new_path
-        if last:
-            break
+        nodes, nodes_path = new, path
+
+    for turn in range(ROUNDS if n_entries else 0):
+        known = lists.join(nodes.select("uid", "share", "comp"), "uid")
+        if turn:
+            per = known.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+            cross = per.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+            if cross <= PAIRS_PER_ENTRY * n_entries:
+                break
+        first = F.col("share") if turn == 0 else F.lit(0.0)
+        pivots = known.groupBy("token").agg(F.max(F.struct(first.alias("s"), F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "pos", "before")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        pivots = pivots.select("token", F.col("p.uid").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.before").alias("vb"))
+        found = known.join(pivots, "token").withColumnsRenamed({"n": "na", "pos": "pa", "before": "va"}).where(possible | (F.col("uid") == F.col("b")))
+        bucket = found.groupBy("uid", "b").agg(F.count("*").alias("c"), F.max("na").alias("n")).groupBy("uid").agg(F.max(F.struct("c", "b", "n")).alias("q"))
+        members, members_path = cut(bucket.select("uid", F.col("q.n").alias("n"), F.col("q.b").alias("bucket")), "members")
+        links = solve_buckets(members, rows, sig, k, num, den, head)
+        place = members.select(F.col("uid").alias("m"), "bucket")
+        join_components(links, lambda df, place=place: df.join(place, df["uid"] == place["m"], "left").withColumn("met", F.concat("met", F.array(F.coalesce("bucket", "uid")))))
+        drop(spark, members_path)
+    if n_entries:
+        known = lists.join(nodes.select("uid", "comp", "met"), "uid")
+        block = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int")
+        mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        known = known.join(mixed, "token")
+        names = lambda x: [F.col(c).alias(c[0] + x if c != "before" else "v" + x) for c in ("n", "pos", "before", "comp", "met")]
+        left = known.where(F.expr(f"pos < n - (2 * {num}L * n + {num + den - 1}) div {num + den} + 1")).select("token", block.alias("block"), F.col("uid").alias("a"), *names("a"))
+        right = known.select("token", F.explode(F.array(block, block - 1)).alias("block"), F.col("uid").alias("b"), *names("b"))
+        larger = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        apart = F.col("ca") != F.col("cb")
+        for turn in range(ROUNDS):
+            apart = apart & ~F.coalesce(F.get("ma", F.lit(turn)) == F.get("mb", F.lit(turn)), F.lit(False))
+        found = left.join(right, ["token", "block"]).where(larger & apart & possible)
+        bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+        pairs = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(bound >= need).select("a", "b", "na", "nb")
+        pairs, pairs_path = cut(pairs, "pairs")
+        met = overlaps(pairs, rows, sig, k, head)
+        join_components(met.where(F.col("o") >= need).select(F.col("a").alias("u"), F.col("b").alias("v")), lambda df: df)
+        drop(spark, pairs_path)
     drop(spark, lists_path)
-    first = sig.where("uid is not null").groupBy("uid").agg(F.min("doc_id").alias("first"))
-    first = first.join(nodes.select("uid", "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    least = first.groupBy("comp").agg(F.min("first").alias("component_id"))
-    ids = first.join(least, "comp").select("uid", "component_id")
-    out = sig.join(ids, "uid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("uid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    comp = F.coalesce(nodes["comp"], sig["uid"]).alias("comp")
+    return sig.join(nodes, sig["uid"] == nodes["uid"], "left").select("doc_id", "k1", "k2", sig["n"], sig["uid"], comp)
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs: links are den * |A & B| >= num * |A or B|.
+
+    Words are split at white space with A-Z lowered; a text of fewer words than k is one shingle, and a null or
+    empty text has none, links to nothing and is its own component. component_id is the smallest doc_id of the
+    component; null ids take part but never name one, unless all are null. Repeated rows give repeated results.
+    Other columns of docs are not looked at. An empty table gives no rows.
+    """
+    rows = _classes(docs, k, num, den, id_col, text)
+    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(least, "comp", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs but for those whose component has a row before them in the order of id and text hash.
+
+    All columns stay as they are. Documents with empty sets all stay, unless the whole row's id and text repeat; of
+    such repeats one stays. Rows to leave out are broadcast only while they are few, and else met by a shuffle.
+    """
+    rows, path = cut(_classes(docs, k, num, den, id_col, text).select("doc_id", "k1", "k2", "comp"), "classes")
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+    out = rows.join(first, "comp").where(~F.struct("doc_id", "k1", "k2").eqNullSafe(F.col("first"))).select("doc_id", "k1", "k2").distinct()
+    out, _ = cut(out, "left_out")
+    again = rows.groupBy("doc_id", "k1", "k2").count().where("count > 1").limit(1).count() > 0
+    drop(docs.sparkSession, path)
+    keys = text_keys(text)
+    marked = docs.select(F.struct(F.lit(True).alias("given"), *(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), *keys)
+    if again:
+        marked = marked.dropDuplicates(["doc_id", "k1", "k2"])
+    few = F.broadcast(out) if bounded(out, BROADCAST_ROWS) else out
+    same = marked["doc_id"].eqNullSafe(few["doc_id"]) & (marked["k1"] == few["k1"]) & (marked["k2"] == few["k2"])
+    return marked.join(few, same, "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))

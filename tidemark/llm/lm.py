@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import chunks, cut, fold, offsets_and_bytes
-from tidemark.llm.words import END, Lookup, word_hashes
+from tidemark.llm.words import END, Lookup, frequent, word_hashes
 
 CLASSES = 128
 HEAD = 1 << 18
@@ -166,10 +166,9 @@ def train(rows: DataFrame, classes: int = CLASSES, head: int = HEAD) -> tuple[Mo
     """The model of all rows' texts, and the table of all their token counts."""
     counts, _ = cut(count_tokens(rows), "token_counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(head).toPandas()
-    hashes = top.h.to_numpy(np.int64).view(np.uint64)
+    hashes, often = frequent(counts, head)
     names = hashes[: classes - 1]
-    return Model(names, hashes, top.n.to_numpy(np.int64), int(n), int(v), fit(count_triples(rows, names))), counts
+    return Model(names, hashes, often, int(n), int(v), fit(count_triples(rows, names))), counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of: int = 10, classes: int = CLASSES) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -99,3 +101,23 @@ class Lookup:
             at[left] += 1
         out[out >= 0] = self.order[out[out >= 0]]
         return out
+
+
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all words of counts (h, n) that occur at least so often that they are `most` at most.
+
+    The limit comes from a histogram of counts in eighths of an octave, a few hundred rows; so no task sorts words
+    and no more than `most` of them reach the driver. They are ordered by falling count, then hash.
+    """
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = counts.groupBy(level.alias("level")).count().collect()
+    total, limit = 0, 1 << 30
+    for r in sorted(sizes, key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > most:
+            break
+        limit = r["level"]
+    got = counts.where(level >= limit).select("h", "n").toArrow()
+    h, n = got.column("h").to_numpy(), got.column("n").to_numpy()
+    order = np.lexsort((h, -n))
+    return h[order].astype(np.int64).view(np.uint64), n[order].astype(np.int64)
