@@ -28,6 +28,8 @@ ORDERINGS, PLANE, BITS = 6, 3, 16
 #: Distinct vectors of a block, blocks at most, sampled keys for each block.
 BLOCK, BLOCKS, PER_BLOCK = 1024, 16_384, 64
 PROBES, TARGET = 64, 0.96
+#: Blocks that are merged at most where windows are wide.
+MERGE = 16
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -94,7 +96,10 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, dim: int, queries: bool, radius: int, subs: dict[tuple[int, int], int]) -> DataFrame:
     """One row for each block that a vector (or a query's window) lies in: o, block, sub before df's columns."""
     blocks = edges.shape[1] + 1
-    share = df.sparkSession.sparkContext.broadcast((edges, subs))
+    parts = np.ones((orderings, blocks), np.int64)
+    for (o, block), times in subs.items():
+        parts[o, block] = times
+    share = df.sparkSession.sparkContext.broadcast((edges, parts))
 
     def run(batches):
         cuts, split = share.value
@@ -109,7 +114,7 @@ def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, di
                 for d in range(-radius, radius + 1):
                     here = at + d
                     ok = np.flatnonzero((here >= 0) & (here < blocks))
-                    n = np.array([split.get((o, int(x)), 1) for x in here[ok]], np.int64)
+                    n = split[o, here[ok]]
                     if queries:
                         times = np.repeat(np.arange(len(ok)), n)
                         first = np.repeat(np.cumsum(n) - n, n)
@@ -173,10 +178,14 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
         edges = np.ascontiguousarray(got[at].T)
     probes = asked.orderBy(F.xxhash64("h1", "h2")).limit(PROBES).select("vec").toArrow()
     orderings, radius = _calibrate(index, probes, edges, longest, dim, k, target)
+    # wide windows open a few larger blocks instead of many
+    merge = max(1, min(radius, MERGE))
+    edges, radius = np.ascontiguousarray(edges[:, merge - 1 :: merge]), -(-radius // merge)
+    usual = merge * max(BLOCK, n // blocks)
     # blocks that hold several times the usual number are split by hash, and queries open all their parts
     one = lambda df, q, r, s: _expand(df, edges, orderings, longest, dim, q, r, s)
-    sizes = one(index.select("h1", "vec"), False, 0, {}).groupBy("o", "block").count().where(F.col("count") > 4 * max(BLOCK, n // blocks)).collect()
-    subs = {(r["o"], r["block"]): -(-r["count"] // (2 * max(BLOCK, n // blocks))) for r in sizes}
+    sizes = one(index.select("h1", "vec"), False, 0, {}).groupBy("o", "block").count().where(F.col("count") > 4 * usual).collect()
+    subs = {(r["o"], r["block"]): -(-r["count"] // (2 * usual)) for r in sizes}
     left = one(asked, True, radius, subs).select("o", "block", "sub", "h1", "h2", "vec").groupBy("o", "block", "sub")
     right = one(index, False, 0, subs).select("o", "block", "sub", "vec", "ids", "low").groupBy("o", "block", "sub")
     names_out = ["h1", "h2", "ids", "low", "score"]
