@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tidemark.llm.common import chunks, texts
 
@@ -202,7 +202,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     give repeated results, an empty table none.
     """
     df = df.drop(ids) if ids != text else df
-    schema = StructType(list(df.schema.fields)).add(ids, "array<int>")
+    schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
 
     def run(batches):
         for whole in batches:
@@ -218,7 +218,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that each row's ids stand for, in place of any column of that name; null ids give null."""
     df = df.drop(text) if ids != text else df
-    schema = StructType(list(df.schema.fields)).add(text, "string")
+    schema = StructType(list(df.schema.fields)).add(text, StringType())
 
     def run(batches):
         trie = _worker(path)[1]
