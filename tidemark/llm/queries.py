@@ -71,6 +71,19 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)
 """
 
+#: Operator 3 in DuckDB: all pairs that share a shingle, and what can be reached by links.
+OP3_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i : i + 3], ' ') AS shingle FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS m FROM d UNION SELECT reach.r, e.v FROM reach JOIN e ON reach.m = e.u),
+c AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.m GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_contamination": OP9_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op9_contamination": OP9_SQL}
