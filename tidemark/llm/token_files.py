@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import chunks, cut, shared_dir, texts
+from tidemark.llm.common import chunks, cut, shared_dir
 from tidemark.llm.units import Units
 
 MAGIC = b"TIDEPK01"
@@ -130,36 +129,37 @@ class LibraryEncoder:
         self.library.no_padding()
         self.vocab_size = self.library.get_vocab_size(with_added_tokens=True)
         specials = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.line = self.whole("\n")
         self.encode = Units(self.learn, self.whole, specials)
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, units: list[str]) -> list[bytes]:
+    def learn(self, units: list[str]) -> list[np.ndarray]:
         """Units with white space only in front go to the library as lines of one text, split again at the line ends."""
-        out: list[bytes] = [b""] * len(units)
+        out: list = [None] * len(units)
         lines, places = [], []
         for i, u in enumerate(units):
-            if u[1:].isalnum() or len(u.split()) == 1 and not u[1:2].isspace() and not u[-1].isspace():
+            if u[0] in " \n" and (u[1:].isalnum() or len(u.split()) == 1 and not u[1].isspace() and not u[-1].isspace()):
                 lines.append(u[1:] if u[0] == "\n" else u)
                 places.append(i)
             else:
                 out[i] = self.whole(u)
-        line = self.encode.line
+        line = self.line
         for at in range(0, len(lines), 20_000):
             part = lines[at : at + 20_000]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(line, "<u4")[0]), len(ids))
+            ids = self.whole("\n".join(part))
+            ends = np.append(np.flatnonzero(ids == line[0]), len(ids)).tolist()
             if len(ends) != len(part):
                 raise AssertionError("lines and units differ")
-            raw, a = ids.tobytes(), 0
-            for i, z in zip(places[at : at + 20_000], (ends * 4).tolist(), strict=True):
-                out[i] = line + raw[a:z] if units[i][0] == "\n" else raw[a:z]
-                a = z + 4
+            a = 0
+            for i, z in zip(places[at : at + 20_000], ends, strict=True):
+                out[i] = np.concatenate((line, ids[a:z])) if units[i][0] == "\n" else ids[a:z]
+                a = z + 1
         return out
 
-    def __call__(self, docs: list[str]) -> list[bytes]:
-        return self.encode(docs)
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode(col)
 
 
 @lru_cache(2)
@@ -181,25 +181,30 @@ def write(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, partitio
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = _worker(tokenizer), np.uint32(end_id).tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        encode, part, seq = _worker(tokenizer), TaskContext.get().partitionId(), 0
         docs, sizes, held, n_ids = [], [], [], 0
 
         def close():
             nonlocal docs, sizes, held, n_ids, seq
             path = f"{out_dir}/tokens-{part:06d}-{seq:05d}.bin"
-            put(path, to_bytes(np.concatenate(docs), np.array(sizes), np.frombuffer(b"".join(held), "<u4"), encode.vocab_size, seq))
-            row = pa.RecordBatch.from_pylist([{"path": path, "part": part, "seq": seq, "n_docs": len(sizes), "n_ids": n_ids}], pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            lengths = np.concatenate(sizes)
+            put(path, to_bytes(np.concatenate(docs), lengths, np.concatenate(held), encode.vocab_size, seq))
+            row = pa.RecordBatch.from_pylist([{"path": path, "part": part, "seq": seq, "n_docs": len(lengths), "n_ids": n_ids}], pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
             docs, sizes, held, n_ids, seq = [], [], [], 0, seq + 1
             return row
 
         for whole in batches:
             for b in chunks(whole, "text"):
-                got = [x + end for x in encode(texts(b.column(1)))]
+                ids, lengths = encode(b.column(1))
+                with_end = np.full(len(ids) + len(lengths), end_id, np.uint32)
+                ends = np.cumsum(lengths + 1) - 1
+                body = np.ones(len(with_end), bool)
+                body[ends] = False
+                with_end[body] = ids
                 docs.append(b.column(0).to_numpy())
-                sizes += [len(x) // 4 for x in got]
-                held += got
-                n_ids += sum(map(len, got)) // 4
+                sizes.append(lengths + 1)
+                held.append(with_end)
+                n_ids += len(with_end)
                 if n_ids >= FILE_IDS:
                     yield close()
         if sizes:
