@@ -58,14 +58,20 @@ def row_index(us: Column, granularity: str, hop_us: int) -> Column:
     return whole_div(us - partition_start_us(us, granularity), hop_us)
 
 
+def tenths_text(n: Column, unit: int) -> Column:
+    """A whole number in units of `unit`, to one decimal place, halves up; in whole numbers throughout."""
+    tenths = whole_div(n.cast("long") * 10 + unit // 2, unit)
+    return F.concat(whole_div(tenths, 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
 def duration_text(seconds: Column) -> Column:
-    """12s, 4m or 2.0h."""
-    minutes = F.floor(seconds / 60 + 0.5).cast("string")
-    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(minutes, F.lit("m"))).otherwise(F.format_string("%.1fh", seconds / 3600))
+    """12s, 4m or 2.0h, of whole seconds."""
+    minutes = whole_div(seconds.cast("long") + 30, 60).cast("string")
+    return F.when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(minutes, F.lit("m"))).otherwise(F.concat(tenths_text(seconds, 3600), F.lit("h")))
 
 
 def bytes_text(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(tenths_text(n, 1 << 10), F.lit(" KB"))).otherwise(F.concat(tenths_text(n, 1 << 20), F.lit(" MB")))
 
 
 def local_minute(ts: Column) -> Column:

@@ -286,9 +286,10 @@ def battery_percent(spark, d):
     return events(spark, d).select("event_id", mv.alias("mv")).select("event_id", "mv", scalars.battery_percent(F.col("mv")).alias("percent"))
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN CAST(floor(s / 60.0 + 0.5) AS BIGINT) || 'm' ELSE printf('%.1fh', s / 3600.0) END AS duration,
-  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS size
-FROM (SELECT event_id, event_id * 7 % 9001 AS s, event_id * event_id * 3 AS b FROM events)""")
+@query("""WITH e AS (SELECT event_id, event_id * 7 % 9001 AS s, event_id * event_id * 3 AS b FROM events),
+t AS (SELECT *, (s * 10 + 1800) // 3600 AS h, (b * 10 + 512) // 1024 AS kb, (b * 10 + 524288) // 1048576 AS mb FROM e)
+SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s + 30) // 60 || 'm' ELSE h // 10 || '.' || h % 10 || 'h' END AS duration,
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN kb // 10 || '.' || kb % 10 || ' KB' ELSE mb // 10 || '.' || mb % 10 || ' MB' END AS size FROM t""")
 def fmt_duration(spark, d):
     rows = table(spark, d, "events").select("event_id", (F.col("event_id") * 7 % 9001).alias("s"), (F.col("event_id") * F.col("event_id") * 3).alias("b"))
     return rows.select("event_id", timeparts.duration_text(F.col("s")).alias("duration"), timeparts.bytes_text(F.col("b")).alias("size"))
@@ -397,13 +398,13 @@ def query_counters(spark, d):
     return rows.agg(F.count("*").alias("rows_read"), F.countDistinct("date", "hour").alias("partitions"), (F.count("v") * 2).alias("bytes"))
 
 
-@query("""SELECT l.event_id, l.user_id, r.event_id AS asof_event_id, r.value AS asof_value FROM (SELECT * FROM events WHERE event_id % 2 = 0) l
+@query("""SELECT l.event_id, l.user_id, coalesce(r.event_id, -1) AS asof_event_id, coalesce(r.value, -1.0) AS asof_value FROM (SELECT * FROM events WHERE event_id % 2 = 0) l
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_id % 2 = 1) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
 def asof_join(spark, d):
     """Two tables on one time axis: each even event with its user's newest odd one."""
     rows = events(spark, d).select("event_id", "user_id", "ts", "value")
     out = asof.asof_join(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", ["event_id", "value"])
-    return out.select("event_id", "user_id", "asof_event_id", "asof_value")
+    return out.select("event_id", "user_id", F.coalesce("asof_event_id", F.lit(-1)).alias("asof_event_id"), F.coalesce("asof_value", F.lit(-1.0)).alias("asof_value"))
 
 
 @query(f"WITH {SAMPLES} SELECT r, CAST(x AS SMALLINT) AS x, CAST(y AS SMALLINT) AS y, CAST(z AS SMALLINT) AS z FROM samples")
