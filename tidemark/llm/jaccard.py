@@ -247,11 +247,10 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     own = F.xxhash64("uid")
     shared = entries.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select("token")
     lists = entries.join(shared, "token").groupBy("token", "uid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    # before: tokens in front of this one that other prefixes have too
-    lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1)
+    # before: tokens in front of this one that other prefixes have too; share: all of them, for the size
+    lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1).withColumn("share", F.count("*").over(Window.partitionBy("uid")) / F.col("n"))
     lists, lists_path = cut(lists, "lists")
-    nodes = lists.groupBy("uid").agg(F.max("n").alias("n"), (F.count("*") / F.max("n")).alias("share"))
-    nodes, nodes_path = cut(nodes.select("uid", "n", "share", F.col("uid").alias("comp"), F.array().cast("array<binary>").alias("met")), "nodes")
+    nodes, nodes_path = cut(lists.groupBy("uid").agg(F.max("n").alias("n")).select("uid", "n", F.col("uid").alias("comp"), F.array().cast("array<binary>").alias("met")), "nodes")
     n_entries = lists.count()
     need = _need(num, den)
     fits = (F.col("nb") * num <= F.col("na") * den) & (F.col("na") * num <= F.col("nb") * den)
@@ -264,19 +263,28 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         ends = links.join(comp.select(F.col("uid").alias("u"), F.col("comp").alias("cu")), "u").join(comp.select(F.col("uid").alias("v"), F.col("comp").alias("cv")), "v")
         roots = connected(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
         new = extra(nodes.join(roots, nodes["comp"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "comp")))
-        new, path = cut(new.select("uid", "n", "share", "comp", "met"), "nodes")
+        new, path = cut(new.select("uid", "n", "comp", "met"), "nodes")
         drop(spark, nodes_path)
         nodes, nodes_path = new, path
 
-    for turn in range(ROUNDS if n_entries else 0):
-        known = lists.join(nodes.select("uid", "share", "comp"), "uid")
+    open_path = None
+    for turn in range(ROUNDS + 1 if n_entries else 0):
+        # lists with sets of more than one component, in the first round all
+        open_lists = lists.withColumn("comp", F.col("uid"))
         if turn:
-            per = known.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+            known = lists.join(nodes.select("uid", "comp", "met"), "uid")
+            mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+            before_path = open_path
+            open_lists, open_path = cut(known.join(mixed, "token"), "open_lists")
+            if before_path:
+                drop(spark, before_path)
+            per = open_lists.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
             cross = per.agg(F.sum((F.col("all").cast("double") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-            if cross <= PAIRS_PER_ENTRY * n_entries:
+            if cross <= PAIRS_PER_ENTRY * n_entries or turn == ROUNDS:
                 break
+        known = open_lists
         first = F.col("share") if turn == 0 else F.lit(0.0)
-        pivots = known.groupBy("token").agg(F.max(F.struct(first.alias("s"), F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "pos", "before")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        pivots = known.groupBy("token").agg(F.max(F.struct(first.alias("s"), F.xxhash64("uid", F.lit(turn)).alias("h"), "uid", "n", "pos", "before")).alias("p"))
         pivots = pivots.select("token", F.col("p.uid").alias("b"), F.col("p.n").alias("nb"), F.col("p.pos").alias("pb"), F.col("p.before").alias("vb"))
         found = known.join(pivots, "token").withColumnsRenamed({"n": "na", "pos": "pa", "before": "va"}).where(possible | (F.col("uid") == F.col("b")))
         bucket = found.groupBy("uid", "b").agg(F.count("*").alias("c"), F.max("na").alias("n")).groupBy("uid").agg(F.max(F.struct("c", "b", "n")).alias("q"))
@@ -286,10 +294,8 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         join_components(links, lambda df, place=place: df.join(place, df["uid"] == place["m"], "left").withColumn("met", F.concat("met", F.array(F.coalesce("bucket", "uid")))))
         drop(spark, members_path)
     if n_entries:
-        known = lists.join(nodes.select("uid", "comp", "met"), "uid")
         block = F.floor(F.log("n") / (math.log(den / num) * 1.0001)).cast("int")
-        mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        known = known.join(mixed, "token")
+        known = open_lists
         names = lambda x: [F.col(c).alias(c[0] + x if c != "before" else "v" + x) for c in ("n", "pos", "before", "comp", "met")]
         left = known.where(F.expr(f"pos < n - (2 * {num}L * n + {num + den - 1}) div {num + den} + 1")).select("token", block.alias("block"), F.col("uid").alias("a"), *names("a"))
         right = known.select("token", F.explode(F.array(block, block - 1)).alias("block"), F.col("uid").alias("b"), *names("b"))
@@ -303,7 +309,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         pairs, pairs_path = cut(pairs, "pairs")
         met = overlaps(pairs, rows, sig, k, head)
         join_components(met.where(F.col("o") >= need).select(F.col("a").alias("u"), F.col("b").alias("v")), lambda df: df)
-        drop(spark, pairs_path)
+        drop(spark, pairs_path, open_path)
     drop(spark, lists_path)
     comp = F.coalesce(nodes["comp"], sig["uid"]).alias("comp")
     return sig.join(nodes, sig["uid"] == nodes["uid"], "left").select("doc_id", "k1", "k2", sig["n"], sig["uid"], comp)
