@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tidemark.llm.common import chunks, fold, offsets_and_bytes
-from tidemark.llm.words import Lookup, shingles, word_hashes
+from tidemark.llm.common import bounded, chunks, claim, cut, drop, fold, offsets_and_bytes
+from tidemark.llm.words import Lookup, frequent, shingles, word_hashes
 
 CUT = 0.7
 SAMPLE = 4000
@@ -93,12 +93,8 @@ def _rank(x: np.ndarray, good: np.ndarray, poor: np.ndarray, steps: int = 400) -
     return w
 
 
-def fit(col: pa.Array, label: np.ndarray) -> Model:
-    """Fit on texts and labels (1 good, 0 poor); with one label only every text scores CUT or, if it is poor, 0.5."""
-    words, _ = word_hashes(*offsets_and_bytes(col))
-    h, n = np.unique(words, return_counts=True)
-    common = h[np.lexsort((h, -n))[:COMMON]]
-    x = features(col, Lookup(common))
+def fit(x: np.ndarray, label: np.ndarray, common: np.ndarray) -> Model:
+    """Fit on features and labels (1 good, 0 poor); with one label only every text scores CUT or, if it is poor, below."""
     good, poor = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if not len(good) or not len(poor):
         f = x.shape[1]
@@ -123,11 +119,31 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     pick = F.lit(False)
     for k, c in sizes.items():
         pick = pick | ((F.col("label") == k) & (place < int(min(1.0, sample / c) * (1 << 20))))
-    got = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(named.where(pick), "doc_id").select("text", "label").toArrow()
-    order = np.argsort([hash_ for hash_ in map(str, got.column("text").to_pylist())], kind="stable") if got.num_rows else np.zeros(0, np.int64)
-    got = got.take(pa.array(order))
-    col = got.column("text").combine_chunks()
-    return fit(col if isinstance(col, pa.Array) else pa.array([], pa.string()), got.column("label").to_numpy())
+    picked, picked_path = cut(named.where(pick), "picked")
+    few = F.broadcast(picked) if bounded(picked, 20 * sample) else picked  # beyond that only if ids have many labels
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(few, "doc_id").select("text", "label")
+    chosen, path = cut(chosen, "labelled")
+
+    def count(batches):
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                h, n = np.unique(word_hashes(*offsets_and_bytes(b.column(0)))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    common, _ = frequent(chosen.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), COMMON)
+
+    def measure(batches):
+        find = Lookup(common)
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                x = features(b.column(0), find)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+
+    got = chosen.mapInArrow(measure, "label int, x array<double>").orderBy("label", "x").toArrow()  # a few numbers for each text of the sample
+    drop(docs.sparkSession, path, picked_path)
+    width = features(pa.array([""]), Lookup(common)).shape[1]
+    x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if got.num_rows else np.zeros((0, width))
+    return fit(x, got.column("label").to_numpy(), common)
 
 
 def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -140,6 +156,7 @@ def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | No
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
+        claim("quality", lambda: None)
         m: Model = share.value
         common = Lookup(m.common)
         for whole in batches:
