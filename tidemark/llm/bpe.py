@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import chunks, texts
+from tidemark.llm.common import chunks, claim, texts, tidy
 
 #: Distinct words that a worker remembers before it starts afresh: about 200 bytes each.
-MEMORY = 400_000
+MEMORY = 300_000
 #: A word of more bytes is encoded where it stands and not remembered.
 LONG = 200
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,7 +116,7 @@ class TrieEncoder:
         known = self.may_follow.get(key)
         if known is not None:
             return known
-        if len(self.may_follow) > 2_000_000:
+        if len(self.may_follow) > 300_000:
             self.may_follow.clear()
         rank, pairs = self.rank, self.pair_rank
         ok, undone = True, len(pairs)
@@ -205,6 +205,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
 
     def run(batches):
+        claim("bpe", _worker.cache_clear)
         for whole in batches:
             for b in chunks(whole, text):
                 got = encode_texts(path, texts(b.column(b.schema.get_field_index(text))))
@@ -221,11 +222,15 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     schema = StructType(list(df.schema.fields)).add(text, StringType())
 
     def run(batches):
+        claim("bpe", _worker.cache_clear)
         trie = _worker(path)[1]
-        for b in batches:
-            col = b.column(b.schema.get_field_index(ids))
-            out = [None if x is None else trie.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace") for x in col.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                col = b.column(b.schema.get_field_index(ids))
+                out = [trie.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)).tobytes().decode("utf-8", "replace") if x.is_valid else None for x in col]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
+            tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -234,6 +239,7 @@ def digest(df: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, SHA-256 of the ids and of the text that they decode to, for each row of (doc_id, text)."""
 
     def run(batches):
+        claim("bpe", _worker.cache_clear)
         trie = _worker(path)[1]
         for whole in batches:
             for b in chunks(whole, "text"):

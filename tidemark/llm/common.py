@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,26 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+_claimed: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say that this worker now remembers things for one operator; what it remembered for others is forgotten."""
+    for other in [x for x in _claimed if x != name]:
+        _claimed.pop(other)()
+        tidy()
+    _claimed[name] = clear
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch with about `most` bytes of text each; a longer single text is a slice of its own."""
     n = batch.num_rows
@@ -60,6 +81,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    tidy()
 
 
 def offsets_and_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

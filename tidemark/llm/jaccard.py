@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, chunks, cut, drop, offsets_and_bytes, text_keys
+from tidemark.llm.common import bounded, chunks, claim, cut, drop, offsets_and_bytes, text_keys
 from tidemark.llm.components import connected
 from tidemark.llm.words import Lookup, frequent, sequence_hash, shingles, word_hashes
 
@@ -91,6 +92,7 @@ _ready: list = []
 
 def _shingler(k: int, head) -> Shingler:
     """The worker's shingler for this broadcast; groups are many and its tables not free."""
+    claim("jaccard", _ready.clear)
     if not _ready or _ready[0] is not head.value or _ready[1] != k:
         _ready[:] = [head.value, k, Shingler(k, head.value)]
     return _ready[2]
@@ -102,13 +104,14 @@ def _need(num: int, den: int):
 
 
 def sign(rows: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
-    """doc_id, k1, k2, set size n, class id (null for an empty set) and prefix of each document.
+    """rid, doc_id, k1, k2, set size n, set hash uid (null for an empty set) and prefix of each document.
 
-    Of several copies that one task meets only the first carries the prefix.
+    rid numbers the rows; the table must be written once. Of several copies that one task meets only the first
+    carries the prefix.
     """
 
     def run(batches):
-        make, met = _shingler(k, head), set()
+        make, met, row = _shingler(k, head), set(), TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in chunks(whole, "text"):
                 sets = make(b.column(1))
@@ -126,25 +129,36 @@ def sign(rows: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
                     met.clear()
                 ends = np.cumsum([0, *(0 if p is None else len(p) for p in parts)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int64), *(p for p in parts if p is not None)])
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "k1", "k2", "n", "uid", "prefix"])
+                rid = pa.array(np.arange(row, row + len(sets)))
+                row += len(sets)
+                mask = pa.array([p is None for p in parts])
+                yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(2), b.column(3), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=mask)], ["rid", "doc_id", "k1", "k2", "n", "uid", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, uid binary, prefix array<long>")
+    return rows.mapInArrow(run, "rid long, doc_id long, k1 long, k2 long, n long, uid binary, prefix array<long>")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """df for a join: broadcast while it is small."""
+    return F.broadcast(df) if bounded(df, BROADCAST_ROWS) else df
 
 
 def _texts(uids: DataFrame, rows: DataFrame, sig: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(uid, text) of one document of each class named; and the paths of the tables behind it."""
-    own = sig.select("uid", "doc_id", "k1", "k2").join(uids, "uid").groupBy("uid").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("r")).select("uid", "r.*")
-    own, own_path = cut(own, "wanted")
-    wanted = F.broadcast(own) if bounded(own, BROADCAST_ROWS) else own
+    """(uid, text) of each class named by the rid of its first document; and the paths of the tables behind it."""
+    own, own_path = cut(sig.select(F.col("rid").alias("uid"), "doc_id", "k1", "k2").join(_few(uids), "uid"), "wanted")
+    wanted = _few(own)
     same = rows["k1"].eqNullSafe(wanted["k1"]) & rows["k2"].eqNullSafe(wanted["k2"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
-    whole, path = cut(rows.join(wanted, same).select("uid", "text").dropDuplicates(["uid"]), "texts")
-    return whole, [own_path, path]
+    whole, path = cut(rows.join(wanted, same).select("uid", "text"), "texts")
+    paths = [own_path, path]
+    if whole.count() > own.count():  # rows that repeat with their id
+        whole, path = cut(whole.dropDuplicates(["uid"]), "texts")
+        paths.append(path)
+    return whole, paths
 
 
 def overlaps(pairs: DataFrame, rows: DataFrame, sig: DataFrame, k: int, head) -> DataFrame:
     """(a, b, na, nb, o) for pairs of classes (a, b, na, nb): o is the true overlap of their whole sets."""
     whole, paths = _texts(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), rows, sig)
-    both = pairs.join(whole.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb")
+    both = _few(pairs).join(whole.select(F.col("uid").alias("a"), F.col("text").alias("ta")), "a").join(whole.select(F.col("uid").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb")
 
     def run(batches):
         make, kept = _shingler(k, head), OrderedDict()
@@ -162,7 +176,7 @@ def overlaps(pairs: DataFrame, rows: DataFrame, sig: DataFrame, k: int, head) ->
                     kept.popitem(last=False)
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(o, pa.int64())], ["a", "b", "na", "nb", "o"])
 
-    out, _ = cut(both.mapInArrow(run, "a binary, b binary, na long, nb long, o long"), "overlaps")
+    out, _ = cut(both.mapInArrow(run, "a long, b long, na long, nb long, o long"), "overlaps")
     drop(rows.sparkSession, *paths)
     return out
 
@@ -230,27 +244,32 @@ def solve_buckets(members: DataFrame, rows: DataFrame, sig: DataFrame, k: int, n
                     break
                 label = new
         at = np.flatnonzero(label != np.arange(m))
-        return pa.table({"u": pa.array([uids[i] for i in at], pa.binary()), "v": pa.array([uids[label[i]] for i in at], pa.binary())})
+        return pa.table({"u": pa.array([uids[i] for i in at], pa.int64()), "v": pa.array([uids[label[i]] for i in at], pa.int64())})
 
-    links, _ = cut(placed.join(whole, "uid").groupBy("bucket", "i", "j").applyInArrow(solve, "u binary, v binary"), "bucket_links")
+    links, _ = cut(_few(placed).join(whole, "uid").groupBy("bucket", "i", "j").applyInArrow(solve, "u long, v long"), "bucket_links")
     drop(rows.sparkSession, placed_path, *paths)
     return links
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, k1, k2, n, uid and comp (the class that names the component; null for empty sets) of every row."""
+    """doc_id, k1, k2, n and comp (the class that names the component; null for empty sets) of every row.
+
+    Within, a class goes by the rid of its first document: its row number.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *text_keys(text))
     head = spark.sparkContext.broadcast(frequent_words(rows))
     sig, _ = cut(sign(rows, k, num, den, head), "sets")
-    entries = sig.where("prefix is not null").select("uid", "n", F.posexplode("prefix").alias("pos", "token"))
-    own = F.xxhash64("uid")
-    shared = entries.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select("token")
-    lists = entries.join(shared, "token").groupBy("token", "uid").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    firsts = sig.where("prefix is not null").select("rid", "uid")
+    again, again_path = cut(firsts.groupBy("uid").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1").select("uid", "first"), "again")
+    entries = sig.where("prefix is not null").join(_few(again), "uid", "left").where("first is null or first = rid")
+    entries = entries.select(F.col("rid").alias("uid"), "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = entries.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
+    lists = entries.join(shared, "token").select("token", "uid", "n", "pos")
     # before: tokens in front of this one that other prefixes have too; share: all of them, for the size
     lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1).withColumn("share", F.count("*").over(Window.partitionBy("uid")) / F.col("n"))
     lists, lists_path = cut(lists, "lists")
-    nodes, nodes_path = cut(lists.groupBy("uid").agg(F.max("n").alias("n")).select("uid", "n", F.col("uid").alias("comp"), F.array().cast("array<binary>").alias("met")), "nodes")
+    nodes, nodes_path = cut(lists.groupBy("uid").agg(F.max("n").alias("n")).select("uid", "n", F.col("uid").alias("comp"), F.array().cast("array<long>").alias("met")), "nodes")
     n_entries = lists.count()
     need = _need(num, den)
     fits = (F.col("nb") * num <= F.col("na") * den) & (F.col("na") * num <= F.col("nb") * den)
@@ -310,9 +329,9 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         met = overlaps(pairs, rows, sig, k, head)
         join_components(met.where(F.col("o") >= need).select(F.col("a").alias("u"), F.col("b").alias("v")), lambda df: df)
         drop(spark, pairs_path, open_path)
-    drop(spark, lists_path)
-    comp = F.coalesce(nodes["comp"], sig["uid"]).alias("comp")
-    return sig.join(nodes, sig["uid"] == nodes["uid"], "left").select("doc_id", "k1", "k2", sig["n"], sig["uid"], comp)
+    drop(spark, lists_path, again_path)
+    comps = firsts.groupBy("uid").agg(F.min("rid").alias("first")).join(nodes.select(F.col("uid").alias("first"), "comp"), "first", "left").select("uid", F.coalesce("comp", "first").alias("comp"))
+    return sig.join(comps, "uid", "left").select("doc_id", "k1", "k2", "n", "comp")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, fold, texts
+from tidemark.llm.common import chunks, claim, fold, texts
 from tidemark.llm.words import Lookup, mix
 
 ORDER = 4
@@ -209,6 +209,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     source = docs.select(*keep, F.col(text).alias("__text"))
 
     def run(batches):
+        claim("langid", lambda: None)
         m: Model = share.value
         scorer = Scorer(m)
         for whole in batches:

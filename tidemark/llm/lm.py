@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, cut, fold, offsets_and_bytes
+from tidemark.llm.common import chunks, claim, cut, fold, offsets_and_bytes
 from tidemark.llm.words import END, Lookup, frequent, word_hashes
 
 CLASSES = 128
@@ -184,6 +184,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of:
     share = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("lm", lambda: None)
         m: Model = share.value
         k, row = len(m.names) + 1, TaskContext.get().partitionId() << 40
         lookup = Lookup(m.head)

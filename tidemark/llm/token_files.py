@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import chunks, cut, shared_dir
+from tidemark.llm.common import chunks, claim, cut, shared_dir
 from tidemark.llm.units import Units
 
 MAGIC = b"TIDEPK01"
@@ -181,6 +181,7 @@ def write(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, partitio
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_files", _worker.cache_clear)
         encode, part, seq = _worker(tokenizer), TaskContext.get().partitionId(), 0
         docs, sizes, held, n_ids = [], [], [], 0
 
