@@ -264,7 +264,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     again, again_path = cut(firsts.groupBy("uid").agg(F.min("rid").alias("first"), F.count("*").alias("c")).where("c > 1").select("uid", "first"), "again")
     entries = sig.where("prefix is not null").join(_few(again), "uid", "left").where("first is null or first = rid")
     entries = entries.select(F.col("rid").alias("uid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
+    shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")  # a class has a token once
     lists = entries.join(shared, "token").select("token", "uid", "n", "pos")
     # before: tokens in front of this one that other prefixes have too; share: all of them, for the size
     lists = lists.withColumn("before", F.row_number().over(Window.partitionBy("uid").orderBy("pos")) - 1).withColumn("share", F.count("*").over(Window.partitionBy("uid")) / F.col("n"))
