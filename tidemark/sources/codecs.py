@@ -26,17 +26,18 @@ VERSION = 1
 
 def pack_words(codes: np.ndarray) -> np.ndarray:
     """Unsigned codes of at most 28 bits as words: each takes the most codes that fit, fewer only at the end."""
-    codes = np.asarray(codes, np.uint32)
-    bits = np.frompyfunc(int.bit_length, 1, 1)(codes.astype(object)).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-    # the first place from each one on whose code is too wide for a selector
-    wide = [np.append(np.flatnonzero(bits > b), len(codes)) for b, _ in SELECTORS]
+    codes = np.asarray(codes, np.uint32).tolist()
+    bits = [c.bit_length() for c in codes]
     words, at, n = [], 0, len(codes)
     while at < n:
         for selector, (b, count) in enumerate(SELECTORS):
             take = min(count, n - at)
-            if wide[selector][np.searchsorted(wide[selector], at)] >= at + take:
-                part = codes[at : at + take].astype(np.uint64) << (np.arange(take, dtype=np.uint64) * np.uint64(b))
-                words.append(selector << 28 | int(np.bitwise_or.reduce(part)))
+            if bits[at] <= b and max(bits[at : at + take]) <= b:
+                word, shift = selector << 28, 0
+                for c in codes[at : at + take]:
+                    word |= c << shift
+                    shift += b
+                words.append(word)
                 at += take
                 break
         else:
