@@ -45,9 +45,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether the ids decode to the text."""
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")), TOKENIZER)
-    back = bpe.decode(ids, TOKENIZER)
-    return back.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER, round_trip="round_trip")
+    return ids.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [("language_id", known_language), ("quality", good_quality), ("near_copies", near_copies), ("decontamination", decontaminated), ("bpe", encoded)]

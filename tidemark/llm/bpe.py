@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import chunks, claim, texts, tidy
+from tidemark.llm.common import chunks, claim, offsets_and_bytes, texts, tidy
 
 #: Distinct words that a worker remembers before it starts afresh: about 200 bytes each.
-MEMORY = 300_000
+MEMORY = 250_000
 #: A word of more bytes is encoded where it stands and not remembered.
 LONG = 200
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -194,24 +194,36 @@ def encode_texts(path: str, docs: list[str]) -> list[bytes]:
     return [b"".join(map(get, p)) for p in pieces]
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of token ids (array<int>), in place of any column of that name.
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
+    """df with a column of token ids (array<int>), and if named one that tells whether they decode to the text again.
 
-    A null text has no ids, as an empty one. Special tokens in a text become their own ids. Rows stay where
-    they are: no shuffle, and a worker's memory is bounded by MEMORY words and one Arrow batch. Repeated rows
-    give repeated results, an empty table none.
+    Columns of these names give way. A null text has no ids, as an empty one. Special tokens in a text become their
+    own ids. Rows stay where they are: no shuffle, and a worker's memory is bounded by MEMORY words and one Arrow
+    batch. Repeated rows give repeated results, an empty table none.
     """
-    df = df.drop(ids) if ids != text else df
+    df = df.drop(*(c for c in (ids, round_trip) if c and c != text))
     schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
+    if round_trip:
+        schema = schema.add(round_trip, BooleanType())
 
     def run(batches):
         claim("bpe", _worker.cache_clear)
         for whole in batches:
             for b in chunks(whole, text):
-                got = encode_texts(path, texts(b.column(b.schema.get_field_index(text))))
+                col = b.column(b.schema.get_field_index(text))
+                got = encode_texts(path, texts(col))
                 flat = np.frombuffer(b"".join(got), "<u4").view(np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*b.schema.names, ids])
+                ends = np.cumsum([0, *(len(x) // 4 for x in got)])
+                more, names = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [ids]
+                if round_trip:
+                    trie = _worker(path)[1]
+                    sizes = np.concatenate(([0], np.cumsum(trie.sizes[flat])))[ends]
+                    back = trie.decode(flat).tobytes()
+                    off, data = offsets_and_bytes(col)
+                    text_bytes = data.tobytes()
+                    more.append(pa.array([back[p:q] == text_bytes[x:y] for p, q, x, y in zip(sizes[:-1].tolist(), sizes[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]))
+                    names.append(round_trip)
+                yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
