@@ -324,6 +324,21 @@ def test_model_beats_the_base_on_predictable_text(spark):
     assert rows[0] > rows[1] + 0.1 * abs(rows[1])
 
 
+def test_language_model_learns_words_beyond_the_most_frequent(spark):
+    from tidemark.llm import lm
+
+    rng = random.Random(2)
+    texts = [" ".join(f"a{i} b{i}" for i in (rng.randrange(300) for _ in range(60))) for _ in range(2500)]
+    docs = docs_of(spark, texts)
+    model, _ = lm.train(docs.select("text"))
+    assert len(model.names) == 601  # of equally frequent words, all have vectors
+    v = model.vectors.copy(np.float32)
+    words, context = np.arange(602), np.zeros(602, np.int64)
+    assert all(abs((10 ** v.log10(context + c, context + 5, words)).sum() - 1) < 1e-4 for c in (3, 200, 602))
+    rows = lm.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1] + 0.05 * abs(rows[1])
+
+
 def test_language_id(spark):
     from tidemark.llm import langid
 

@@ -1,15 +1,20 @@
 """Operator 2: a log-bilinear language model trained by noise-contrastive estimation, and a unigram base score.
 
 Words are split at white space with A-Z lowered; every text ends with one end token. The counts of all words of all
-training texts, and of all triples of word classes in them, are summed in Spark. A class is one of the CLASSES - 1
-most frequent tokens or, for all others, "rare". The model predicts the class of a token from the two classes before
-it: q = C1 r[c1] + C2 r[c2], score(w) = q . v[w] + b[w] (Mnih and Hinton, 2007), fitted by noise-contrastive
-estimation (Mnih and Teh, 2012) on triples drawn by their corpus counts, noise from the class frequencies. One matrix
-product over all contexts, normalised over the classes, gives the table of log-probabilities that scores every text.
-A rare token's probability within its class is (c + 0.1) / (n + 0.1 (v + 1)), so all known words and one unknown
-word together have probability one.
+training texts, and of all triples of the START - 1 most frequent tokens and "rare", are summed in Spark. Every token
+that occurs LEAST times has vectors of its own, as context and as target, as far as HEAD; all others are the word "rare".
+A word is predicted from the two before it: q = C1 r[w1] + C2 r[w2], score(w) = q . v[w] + b[w] (Mnih and Hinton,
+2007), fitted by noise-contrastive estimation (Mnih and Teh, 2012). A first fit on the driver, to the counts of triples,
+gives where to start: a word outside them has the vectors of "rare". From there each task goes once over all its
+training texts, with noise from the word frequencies; a row's changes are averaged over the tasks by how often each met
+it. So both the words and the steps grow with the corpus.
+
+Words are parted by falling frequency into about sqrt(words) classes, whose scores are fitted in the same way. A score
+is normalised over the classes, then over the words of the class. A rare token's probability within "rare" is
+(c + 0.1) / (n + 0.1 (v + 1)), so all known words and one unknown word together have probability one.
 
 Counts of the HEAD most frequent words are broadcast (3 MB); those of the rest meet the texts' rare words by a join.
+The vectors are broadcast too, in 16 bits: about 98 bytes a word, at most 26 MB.
 """
 
 from __future__ import annotations
@@ -26,11 +31,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chunks, claim, cut, fold, offsets_and_bytes
 from tidemark.llm.words import END, Lookup, frequent, word_hashes
 
-CLASSES = 128
+#: Words of the first fit, with "rare".
+START = 128
+#: Words with vectors have LEAST occurrences, or are among the first fit's.
+LEAST = 5
 HEAD = 1 << 18
 #: Size of the vectors, pairs seen in training, noise tokens for each.
 WIDTH, SEEN, BATCH, NOISE = 24, 1_500_000, 2048, 8
 SMOOTH = 0.1
+#: The pass over all texts: triples of a step, its noise words and noise classes, rate; most classes; tokens scored at once.
+STEP, NOISE_WORDS, NOISE_CLASSES, RATE, MOST_CLASSES, AT_ONCE = 4096, 64, 32, 0.1, 512, 8192
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +80,7 @@ def contexts(classes: np.ndarray, begin: np.ndarray, edge: int) -> tuple[np.ndar
 
 
 def count_triples(train: DataFrame, names: np.ndarray) -> np.ndarray:
-    """Corpus counts [c2, c1, class] over all training texts; at most (CLASSES + 1) ^ 2 * CLASSES cells reach the driver."""
+    """Corpus counts [c2, c1, class] over all training texts; at most (START + 1) ^ 2 * START cells reach the driver."""
     k = len(names) + 1
 
     def run(batches):
@@ -94,8 +104,8 @@ def count_triples(train: DataFrame, names: np.ndarray) -> np.ndarray:
     return out.reshape(k + 1, k + 1, k)
 
 
-def fit(triples: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Table [c2, c1, class] of normalised log10 probabilities of the model fitted to the counts."""
+def first_fit(triples: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """r, v, the two matrices and b of a model fitted to the counts."""
     k = triples.shape[2]
     rng = np.random.default_rng(seed)
     total = triples.sum()
@@ -137,6 +147,13 @@ def fit(triples: np.ndarray, seed: int = 7) -> np.ndarray:
             grads = (gr, gv, r[one].T @ gq, r[two].T @ gq, gb)
             for x, held, g in zip((r, v, c[0], c[1], bias), state, grads, strict=True):
                 step(x, held, g, rate)
+    return r, v, c, bias
+
+
+def fit(triples: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Table [c2, c1, class] of normalised log10 probabilities of the model fitted to the counts."""
+    k = triples.shape[2]
+    r, v, c, bias = first_fit(triples, seed)
     first, second = r @ c[0], r @ c[1]
     logit = ((second[:, None, :] + first[None, :, :]).reshape(-1, WIDTH) @ v.T + bias).astype(np.float64)
     top = logit.max(1, keepdims=True)
@@ -144,34 +161,233 @@ def fit(triples: np.ndarray, seed: int = 7) -> np.ndarray:
     return (logit / math.log(10)).reshape(k + 1, k + 1, k)
 
 
+@dataclass
+class Vectors:
+    """r: of words, "rare" and the edge. out: v and b of words and "rare"; up: of the classes, "rare" the last. c: C1, C2.
+
+    first: the first word of each class, then of "rare", then the end; words stand by falling frequency. share: the
+    frequencies of words and "rare".
+    """
+
+    r: np.ndarray
+    out: np.ndarray
+    up: np.ndarray
+    c: np.ndarray
+    first: np.ndarray
+    share: np.ndarray
+
+    @property
+    def kind(self) -> np.ndarray:
+        """The class of each word."""
+        return np.repeat(np.arange(len(self.up)), np.diff(self.first))
+
+    def copy(self, to) -> Vectors:
+        return Vectors(*(x.astype(to) for x in (self.r, self.out, self.up, self.c)), self.first, self.share)
+
+    def rows(self) -> np.ndarray:
+        """All fitted numbers as rows: words, rare, edge; classes; the matrices."""
+        words = np.hstack([self.r, np.vstack([self.out, np.zeros((1, WIDTH + 1), self.out.dtype)])])
+        classes = np.hstack([np.zeros((len(self.up), WIDTH), self.up.dtype), self.up])
+        return np.vstack([words, classes, np.hstack([self.c[0], self.c[1], np.zeros((WIDTH, 1), self.c.dtype)])])
+
+    def moved(self, delta: np.ndarray) -> Vectors:
+        n, k = len(self.r), len(self.up)
+        w, m = delta[:n], delta[n + k :]
+        return Vectors(self.r + w[:, :WIDTH], self.out + w[:-1, WIDTH:], self.up + delta[n : n + k, WIDTH:], self.c + np.stack([m[:, :WIDTH], m[:, WIDTH : 2 * WIDTH]]), self.first, self.share)
+
+    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """q with a 1 behind it, for b."""
+        q = np.ones((len(one), WIDTH + 1), np.float32)
+        q[:, :WIDTH] = self.r[one] @ self.c[0] + self.r[two] @ self.c[1]
+        return q
+
+    def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each word after the two words before it."""
+        kind, out = self.kind[word], np.empty(len(word))
+
+        def among(q, table, at):
+            logit = q @ table.T
+            logit -= logit.max(1, keepdims=True)
+            chosen = logit[np.arange(len(at)), at].astype(np.float64)
+            return chosen - np.log(np.exp(logit, out=logit).sum(1, dtype=np.float64))
+
+        q = np.empty((len(word), WIDTH + 1), np.float32)
+        for a in range(0, len(word), AT_ONCE):
+            z = a + AT_ONCE
+            q[a:z] = self.context(one[a:z], two[a:z])
+            out[a:z] = among(q[a:z], self.up, kind[a:z])
+        order = np.argsort(kind, kind="stable")
+        ends = np.searchsorted(kind[order], np.arange(len(self.up) + 1))
+        for k in np.flatnonzero((np.diff(self.first) > 1) & (np.diff(ends) > 0)):
+            lo, hi = self.first[k], self.first[k + 1]
+            most = max(1, (1 << 21) // (hi - lo))
+            for a in range(ends[k], ends[k + 1], most):
+                at = order[a : min(a + most, ends[k + 1])]
+                out[at] += among(q[at], self.out[lo:hi], word[at] - lo)
+        return out / math.log(10)
+
+
+def start(triples: np.ndarray, counts: np.ndarray, rare: int) -> Vectors:
+    """The first fit's model, with words of those counts and so many rare tokens."""
+    r, v, c, b = first_fit(triples)
+    n, k = len(counts), len(b)
+    share = np.append(counts, rare) + 1.0
+    share /= share.sum()
+    known = min(n, k - 1)
+    of = np.append(np.arange(known), np.full(n + 1 - known, k - 1))
+    out = np.hstack([v[of], b[of, None]])
+    out[known:, WIDTH] += np.log(share[known:] / share[known:].sum())
+    most = min(MOST_CLASSES, math.isqrt(n) + 1)
+    root = np.cumsum(np.sqrt(share[:n]))
+    kind = np.append(np.unique((root * (most / root[-1] * (1 - 1e-9))).astype(int), return_inverse=True)[1], -1) if n else np.array([-1])
+    kind[-1] = kind.max() + 1
+    first = np.searchsorted(kind, np.arange(kind[-1] + 2))
+    sizes = np.add.reduceat(share, first[:-1])
+    up = np.add.reduceat(out * share[:, None], first[:-1]) / sizes[:, None]
+    up[:, WIDTH] = np.log(np.add.reduceat(np.exp(out[:, WIDTH].astype(float)), first[:-1]))
+    return Vectors(r[np.append(of, k)].astype(np.float32), out.astype(np.float32), up.astype(np.float32), np.stack(c), first, share)
+
+
+class Pass:
+    """One task's pass of noise-contrastive estimation over its texts, from given vectors."""
+
+    def __init__(self, begin: Vectors, seed: int):
+        self.now = begin.copy(np.float32)
+        self.rng = np.random.default_rng(seed)
+        self.kind = begin.kind
+        self.states = [np.ones(len(x), np.float32) for x in (self.now.r, self.now.out, self.now.up)]
+        self.state_c = np.full_like(self.now.c, 1e-2)
+        sizes = np.add.reduceat(begin.share, begin.first[:-1])
+        self.noise = [(np.cumsum(x), np.log(k * x).astype(np.float32), k) for x, k in ((begin.share, NOISE_WORDS), (sizes, NOISE_CLASSES))]
+        self.met = np.zeros(len(begin.out), np.int64)
+
+    def _move(self, x: np.ndarray, held: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        """A step of the rows `at` (they may repeat), by their summed gradients."""
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g, rows = np.add.reduceat(grad[order], first, axis=0), at[first]
+        held[rows] += np.einsum("bd,bd->b", g, g)
+        x[rows] -= RATE * g / np.sqrt(held[rows])[:, None]
+
+    def _contrast(self, x: np.ndarray, held: np.ndarray, noise, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Gradient by q; moves the rows of x."""
+        edges, log_noise, k = noise
+        drawn = np.minimum(np.searchsorted(edges, self.rng.random(k)), len(x) - 1)
+        vectors, others = x[at], x[drawn]
+        right = -1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", q, vectors) - log_noise[at], -30, 30)))
+        wrong = 1 / (1 + np.exp(np.clip(log_noise[drawn] - q @ others.T, -30, 30)))
+        gq = right[:, None] * vectors + wrong @ others
+        self._move(x, held, np.concatenate([at, drawn]), np.concatenate([right[:, None] * q, wrong.T @ q]))
+        return gq[:, :WIDTH]
+
+    def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
+        self.met += np.bincount(word, minlength=len(self.met))
+        now, order = self.now, self.rng.permutation(len(word))
+        for a in range(0, len(order), STEP):
+            at = order[a : a + STEP]
+            w, o, t = word[at], one[at], two[at]
+            ro, rt = now.r[o], now.r[t]
+            q = np.ones((len(at), WIDTH + 1), np.float32)
+            q[:, :WIDTH] = ro @ now.c[0] + rt @ now.c[1]
+            gq = self._contrast(now.out, self.states[1], self.noise[0], q, w) + self._contrast(now.up, self.states[2], self.noise[1], q, self.kind[w])
+            grad = np.stack([ro.T @ gq, rt.T @ gq]) / len(at)
+            self._move(now.r, self.states[0], np.concatenate([o, t]), np.concatenate([gq @ now.c[0].T, gq @ now.c[1].T]))
+            self.state_c += grad * grad
+            now.c -= RATE / 10 * grad / np.sqrt(self.state_c)
+
+    def changes(self, begin: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, occurrences and changes of the rows that were met."""
+        total = int(self.met.sum())
+        n = np.concatenate([self.met, [total], np.add.reduceat(self.met, begin.first[:-1]), np.full(WIDTH, total)])
+        at = np.flatnonzero(n)
+        return at, n[at], (self.now.rows()[at] - begin.rows()[at].astype(np.float32))
+
+
+def refine(train: DataFrame, names: np.ndarray, begin: Vectors) -> Vectors:
+    """The vectors after one pass over all training texts."""
+    spark = train.sparkSession
+    begin = begin.copy(np.float16)
+    share, size = spark.sparkContext.broadcast((names, begin)), len(begin.r) + len(begin.up) + WIDTH
+    width = 2 * WIDTH + 1
+
+    def run(batches):
+        claim("lm", lambda: None)
+        (own, b0), got = share.value, None
+        lookup, rare = Lookup(own), len(own)
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                got = got or Pass(b0, TaskContext.get().partitionId())
+                h, first = tokens(b.column(0))
+                w = lookup(h)
+                w[w < 0] = rare
+                got.learn(*contexts(w, first, rare + 1), w)
+        if got:
+            at, n, delta = got.changes(b0)
+            del got
+            for i in range(0, len(at), 8192):
+                d = np.ascontiguousarray(delta[i : i + 8192].astype(np.float16)).view(np.uint8).reshape(-1)
+                offsets = np.arange(0, len(d) + 1, 2 * width, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 8192]), pa.array(n[i : i + 8192]), pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(d)])], ["place", "n", "delta"])
+
+    def mean(batches):
+        """Weighted means of each place's changes; all rows of a place are here."""
+        total, weight = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if total is None:
+                total, weight = np.zeros((size, width), np.float32), np.zeros(size)
+            at, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            d = np.frombuffer(offsets_and_bytes(b.column(2))[1].tobytes(), np.float16).reshape(-1, width).astype(np.float32) * n[:, None].astype(np.float32)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+            total[at[order][first]] += np.add.reduceat(d[order], first, axis=0)
+            weight += np.bincount(at, n, size)
+        if total is not None:
+            at = np.flatnonzero(weight)
+            for i in range(0, len(at), 8192):
+                rows = at[i : i + 8192]
+                d = (total[rows] / weight[rows, None]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([x.tobytes() for x in d], pa.binary())], ["place", "delta"])
+
+    moved = train.select("text").mapInArrow(run, "place long, n long, delta binary").repartition("place").mapInArrow(mean, "place long, delta binary").toArrow()
+    delta = np.zeros((size, width), np.float32)
+    for b in moved.to_batches():
+        delta[b.column(0).to_numpy()] = np.frombuffer(offsets_and_bytes(b.column(1))[1].tobytes(), np.float16).reshape(-1, width)
+    return begin.copy(np.float32).moved(delta).copy(np.float16)
+
+
 @dataclass
 class Model:
-    """names: hashes of the named classes. head, counts: the most frequent words. N, V: training tokens, distinct ones."""
+    """names: hashes of the words with vectors. head, counts: the most frequent words. N, V: training tokens, distinct ones."""
 
     names: np.ndarray
     head: np.ndarray
     counts: np.ndarray
     n: int
     v: int
-    table: np.ndarray
+    vectors: Vectors
 
     @property
     def rare(self) -> tuple[int, int]:
-        """Tokens and distinct tokens of the class of rare ones."""
+        """Tokens and distinct tokens of the word "rare"."""
         named = self.counts[: len(self.names)]
         return self.n - int(named.sum()), self.v - len(self.names)
 
 
-def train(rows: DataFrame, classes: int = CLASSES, head: int = HEAD) -> tuple[Model, DataFrame]:
+def train(rows: DataFrame, classes: int = START, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all rows' texts, and the table of all their token counts."""
     counts, _ = cut(count_tokens(rows), "token_counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hashes, often = frequent(counts, head)
-    names = hashes[: classes - 1]
-    return Model(names, hashes, often, int(n), int(v), fit(count_triples(rows, names))), counts
+    names = hashes[: max(classes - 1, int((often >= LEAST).sum()))]
+    own = often[: len(names)]
+    begin = start(count_triples(rows, hashes[: classes - 1]), own, int(n) - int(own.sum()))
+    return Model(names, hashes, often, int(n), int(v), refine(rows, names, begin)), counts
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of: int = 10, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of: int = 10, classes: int = START) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Training texts are those whose crc32(id as text) mod fold_of is not 0. score is the model's log10 probability of
@@ -186,6 +402,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of:
     def run(batches):
         claim("lm", lambda: None)
         m: Model = share.value
+        vectors = m.vectors.copy(np.float32)
         k, row = len(m.names) + 1, TaskContext.get().partitionId() << 40
         lookup = Lookup(m.head)
         base_of = np.append(np.log10(m.counts + SMOOTH), 0.0)
@@ -202,7 +419,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", fold_of:
                 n = b.num_rows
                 rid = np.arange(row, row + n)
                 row += n
-                out = {"rid": rid, "doc_id": b.column(0), "held_out": b.column(2), "n_tokens": np.diff(begin), "known": total((at >= 0).astype(np.int64)), "base": total(part), "rare": total(rare.astype(np.int64)), "model": total(m.table[two, one, cls] + np.where(rare, part, 0.0))}
+                out = {"rid": rid, "doc_id": b.column(0), "held_out": b.column(2), "n_tokens": np.diff(begin), "known": total((at >= 0).astype(np.int64)), "base": total(part), "rare": total(rare.astype(np.int64)), "model": total(vectors.log10(one, two, cls) + np.where(rare, part, 0.0))}
                 of = np.repeat(np.arange(n), np.diff(begin))[at < 0]
                 left = got[at < 0]
                 order = np.lexsort((left, of))
