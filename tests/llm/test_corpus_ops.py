@@ -437,6 +437,23 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_article_text_around_the_best_container(spark):
+    from tidemark.llm import html_text
+
+    head, lead, body = "h" * 60, "l" * 300, "b" * 2000
+    side = f'<div class="sidebar"><p>{"s" * 90}</p></div><div><p><a href="/">{"k" * 90}</a></p></div>'
+    pages = [
+        f'<body><article><h1>{head}</h1><p>{lead}</p><div class="content"><p>{body}</p></div>{side}</article></body>',
+        f'<body><main><section class="intro"><h1>{head}</h1><p>{lead}</p></section><section class="body"><p>{body}</p></section>{side}</main></body>',
+        f'<body><div class="post"><h1>{head}</h1><p>{lead}</p><div class="content"><p>{body}</p></div>{side}</div></body>',
+        f'<body><div><section><h1>{head}</h1><p>{lead}</p></section><section class="x"><p>{body}</p></section>{side}</div></body>',
+        f"<body><h1>{head}</h1><p>{lead}</p><ul><li>{body}</li></ul>{side}</body>",
+    ]
+    rows = [(i, f"https://h{i % 5}.org/{i}", pages[i % 5]) for i in range(15)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 15 and all(r["text"] == f"{head}\n{lead}\n{body}" for r in got)
+
+
 def test_connected_components(spark):
     from tidemark.llm.components import connected
 

@@ -3,7 +3,8 @@
 Every container of a page is scored by the text that stands in it: its own blocks count whole, those one container
 further in half, and so on, less what is link text. The page votes for the generalised path (tags with their classes,
 numbers dropped) of its best containers. Votes are summed per host in Spark; each page is then extracted again at the
-first of its host's paths that it has, or at its own best container where it has none of them.
+first of its host's paths that it has, or at its own best container where it has none of them. Article text around that
+container (a heading, a lead, a sibling section) belongs to it: see Page.around.
 """
 
 from __future__ import annotations
@@ -142,19 +143,48 @@ class Page:
         whole = sum(s for _, s in top)
         return [(p, s / whole) for p, s in top]
 
+    def _under(self, chosen: set[int]) -> list[bool]:
+        """Whether each container is one of those or stands in one."""
+        inside = [False] * len(self.path)
+        for i, up in enumerate(self.parent):
+            inside[i] = i in chosen or (up >= 0 and inside[up])
+        return inside
+
+    def around(self, c: int) -> int:
+        """The container whose text belongs to the article of container c.
+
+        That is the outermost article or main around it, else the outermost one marked as article text, else the div or
+        section that it stands in; a list, table or quotation without those belongs to what it stands in.
+        """
+        tag = lambda i: self.path[i].rsplit("/", 1)[-1].split(".")[0]
+        chain = [c]
+        while self.parent[chain[-1]] >= 0:
+            chain.append(self.parent[chain[-1]])
+        for sure in (lambda i: tag(i) in ("article", "main"), lambda i: i != c and self.bonus[i] > 1 and tag(i) not in ("html", "body")):
+            found = [i for i in chain if sure(i)]
+            if found:
+                return found[-1]
+        if tag(c) not in ("div", "section"):
+            return next((i for i in chain if tag(i) in ("div", "section", "body", "html", "")), c)
+        return chain[1] if len(chain) > 1 and tag(chain[1]) in ("div", "section") else c
+
     def text(self, paths: list[str]) -> str:
-        """Blocks under the first of the paths that the page has text in, else under its best container."""
+        """Blocks under the first of the paths that the page has text in, else under its best container, and around it.
+
+        Around it, containers whose own text is mostly links are left out.
+        """
         votes = self.votes()
         for p in [*paths, *(p for p, _ in votes)]:
             chosen = {i for i, q in enumerate(self.path) if q == p}
             if not chosen:
                 continue
-            inside = [False] * len(self.path)
-            for i, up in enumerate(self.parent):
-                inside[i] = i in chosen or (up >= 0 and inside[up])
-            got = [t for c, t, _ in self.blocks if inside[c]]
-            if got:
-                return "\n".join(got)
+            inside = self._under(chosen)
+            if any(inside[c] for c, _, _ in self.blocks):
+                wide = self._under({self.around(c) for c in chosen})
+                gain = [0.0] * len(self.path)
+                for c, t, links in self.blocks:
+                    gain[c] += len(t) - 1.5 * links
+                return "\n".join(t for c, t, _ in self.blocks if inside[c] or (wide[c] and gain[c] > 0))
         return ""
 
 
