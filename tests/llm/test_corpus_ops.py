@@ -454,6 +454,14 @@ def test_html_keeps_article_text_around_the_best_container(spark):
     assert len(got) == 15 and all(r["text"] == f"{head}\n{lead}\n{body}" for r in got)
 
 
+def test_html_ids_made_from_headings_keep_their_text():
+    from tidemark.llm import html_text
+
+    long = "w" * 200
+    page = f'<body><article><h2 id="discussion">One</h2><p>{long}<h2 id="related-work">Two</h2><p id="social-history">{long}<section id="discussion"><p>{long}</section><div id="comments"><p>c</div><div class="related-posts"><p>r</div></article><div id="side-bar-comments"><p>x</div></body>'
+    assert html_text.Page(page).text([]) == f"One\n{long}\nTwo\n{long}\n{long}"
+
+
 def test_connected_components(spark):
     from tidemark.llm.components import connected
 

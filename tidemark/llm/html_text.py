@@ -28,24 +28,41 @@ BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre hr figcaption summ
 NEVER = frozenset("nav footer aside form menu dialog fieldset search".split())
 #: Words of a class, id or role that mark what isn't article text.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice popup promo promoted promotion related recommended respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget copyright pagination pager alert gdpr discussion replies reply skip".split())
+#: Those that as an id may as well be the heading of a section of the article.
+HEADINGS = frozenset("advertising consent copyright discussion gdpr navigation notice promotion related social subscription".split())
 GOOD = frozenset("article body content entry main post story text".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|textarea|title|select|object|button)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 NAME = re.compile(r"[a-z]+")
 
 
-def _attributes(raw: str) -> tuple[list[str], list[str], bool]:
-    """Class names, words of class, id and role, and whether the element is hidden."""
-    classes, marks, hidden = [], [], False
+def _attributes(raw: str) -> tuple[list[str], list[str], str, bool]:
+    """Class names, words of class and role, the id, and whether the element is hidden."""
+    classes, marks, ident, hidden = [], [], "", False
     for m in ATTRIBUTE.finditer(raw):
         key, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if key == "class":
             classes = value.split()
-        if key in ("class", "id", "role"):
+        if key in ("class", "role"):
             marks += NAME.findall(value)
+        elif key == "id":
+            ident = value.strip()
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
-    return classes, marks, hidden
+    return classes, marks, ident, hidden
+
+
+def _marked(name: str, marks: list[str], ident: str, inside: bool) -> bool:
+    """Whether class, role or id say that this isn't article text.
+
+    Ids of headings and of what stands in an article or main are often made from a heading: the former don't count, the
+    latter only as a whole, and a section's not if it may be a heading.
+    """
+    if not MARKS.isdisjoint(marks):
+        return True
+    if name in BREAKS or inside:
+        return not re.fullmatch("h[1-6]", name) and ident in MARKS and not (name == "section" and ident in HEADINGS)
+    return not MARKS.isdisjoint(NAME.findall(ident))
 
 
 class Page:
@@ -92,16 +109,16 @@ class Page:
                 close_block()
                 skip = False
                 if not closing:
-                    classes, marks, hidden = _attributes(m[4]) if m[4] else ((), (), False)
+                    classes, marks, ident, hidden = _attributes(m[4]) if m[4] else ((), (), "", False)
                     up = stack[-1][1]
                     inside = any(t in ("article", "main") for t, _ in stack)
                     plain = name in ("html", "body", "article", "main")
-                    out = self.out[up] or hidden or name in NEVER or (name == "header" and not inside) or (not plain and not MARKS.isdisjoint(marks))
+                    out = self.out[up] or hidden or name in NEVER or (name == "header" and not inside) or (not plain and _marked(name, marks, ident, inside))
                     step = name + "".join(sorted(f".{re.sub(r'[0-9]+', '#', c)}" for c in set(classes)))
                     self.path.append(f"{self.path[up]}/{step}")
                     self.parent.append(up)
                     self.out.append(out)
-                    self.bonus.append(1.5 if name in ("article", "main") else 1.25 if not GOOD.isdisjoint(marks) else 1.0)
+                    self.bonus.append(1.5 if name in ("article", "main") else 1.25 if not GOOD.isdisjoint([*marks, *NAME.findall(ident)]) else 1.0)
                     if not (name in ("html", "body") and any(t == name for t, _ in stack)):
                         stack.append((name, len(self.path) - 1))
                 else:
@@ -113,8 +130,8 @@ class Page:
                 close_block()
                 skip = False
                 if not closing and m[4]:
-                    _, marks, hidden = _attributes(m[4])
-                    skip = hidden or not MARKS.isdisjoint(marks)
+                    _, marks, ident, hidden = _attributes(m[4])
+                    skip = hidden or _marked(name, marks, ident, True)
                 in_link = False if name != "li" else in_link
         if at < len(html):
             text.append(unescape(html[at:]))
