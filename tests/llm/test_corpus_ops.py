@@ -214,6 +214,16 @@ def test_contamination_matches_brute_force(spark):
     assert not any(r["contaminated"] for r in contamination.contamination(docs_of(spark, texts), table.limit(0)).collect())
 
 
+def test_contamination_of_capital_sigmas_before_marks(spark):
+    from tidemark.llm import contamination
+
+    item = "ΛΟΓΟΣ ΑΡΧΗ ΛΟΓΟΣ ΑΡΧΗ ΛΟΓΟΣ ΑΡΧΗ ΛΟΓΟΣ ΑΡΧΗ ΛΟΓΟΣ ΑΡΧΗ"
+    items = spark.createDataFrame([("i", item)], "item_id string, text string")
+    got = contamination.contamination(docs_of(spark, [item, item.replace(" ", "."), item.replace(" ", "'")]), items).collect()
+    assert [r["n_hit"] for r in got] == [10, 10, 10]
+    assert contamination.clean(docs_of(spark, [item.replace(" ", ":")]), items).count() == 0
+
+
 def test_contamination_plan_has_no_python(spark):
     from tidemark.llm import contamination
 

@@ -8,7 +8,8 @@ place p of a document with offset o in the window is kept if the window's `len`
 
 One scan of the documents looks every k-word place up among the shingles of all items and keeps the places that hit,
 with the words around them: from it come the corpus counts that order the shingles, and the join. Words are compared
-with full lower-casing first, which never separates equal words, and exactly, with A-Z lowered only, at the end.
+with full lower-casing first, word by word on both sides (a capital sigma is lowered by what stands around it), so that
+equal words stay equal, and exactly, with A-Z lowered only, at the end.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = SHING
     small = bounded(keys, BROADCAST_ROWS)
     lengths = sorted(r[0] for r in shingle.select("m").distinct().collect())  # at most k numbers
     t = F.coalesce(F.col(text), F.lit(""))
-    ws = docs.select(*text_keys(text), words(t).alias("raw"), words(F.lower(t)).alias("low"))
+    ws = docs.select(*text_keys(text), words(t).alias("raw"), F.transform(words(t), lambda x: F.lower(x)).alias("low"))
     places = ws.select("*", F.posexplode_outer("low").alias("p", "x"))  # not posexplode: the filter inferred for it would split each text again
     size = F.size("raw")
     if len(lengths) == 1:
