@@ -369,6 +369,16 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs_of(spark, odd_texts()), langid.fit({})).collect()} == {"und"}
 
 
+def test_language_id_refuses_too_many_languages(spark, monkeypatch):
+    from tidemark.llm import langid
+
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    df = spark.createDataFrame([("the thing", "en"), ("das ding", "de"), ("la chose", "fr")], "text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(df, "text", "lang")
+    assert len(langid.train(df.where("lang <> 'fr'"), "text", "lang").languages) == 2
+
+
 def test_kneser_ney_sums_to_one():
     from tidemark.llm import langid
 

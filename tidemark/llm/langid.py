@@ -181,9 +181,14 @@ def _far(model: Model, j, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Model:
-    """Fit on a sample of rows with text and language; rare languages give all their rows."""
+    """Fit on a sample of rows with text and language; rare languages give all their rows.
+
+    More than LANGUAGES languages are an error: the model's arrays have a column for each of them.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
     pick = F.lit(False)
     for r in sizes:
