@@ -4,7 +4,8 @@ For merges whose tokens all encode to themselves, the encoding of a prefix is th
 prefix plus one last token, and that last token is the only vocabulary suffix that may stand behind the
 shorter prefix's own last token. So one last token per trie node describes the encodings of all prefixes.
 Distinct words are visited in sorted order, which is the depth-first order of their trie: the states of the
-prefix that a word shares with the one before it are on the stack and computed once.
+prefix that a word shares with the one before it are on the stack and computed once. Texts are cut into remembered
+units first (see units), so only what a worker hasn't met goes through the trie.
 """
 
 from __future__ import annotations
@@ -21,12 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from tidemark.llm.common import chunks, claim, offsets_and_bytes, texts, tidy
+from tidemark.llm.common import chunks, claim, offsets_and_bytes, tidy
+from tidemark.llm.units import Units
 
-#: Distinct words that a worker remembers before it starts afresh: about 200 bytes each.
-MEMORY = 250_000
-#: A word of more bytes is encoded where it stands and not remembered.
-LONG = 200
+#: Bytes of remembered pieces, with their ids, before a worker starts afresh; pieces of more than LONG bytes aren't remembered.
+KNOWN_BYTES, LONG = 24 << 20, 200
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -49,7 +49,7 @@ class Splitter:
         self.find = regex.compile(PATTERN).findall
         self.old = set()
         self.specials = {x["content"]: x["id"] for x in json.loads(open(path, encoding="utf-8").read())["added_tokens"]}
-        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
 
     def words(self, text: str) -> list[str]:
         """Letters and numbers newer than Unicode 3.2 may class differently here and in the library; it then splits the text itself."""
@@ -65,7 +65,7 @@ class Splitter:
         return self.find(text)
 
     def __call__(self, text: str) -> list[str]:
-        if self.at_special is None or "<" not in text:
+        if not any(s in text for s in self.specials):
             return self.words(text)
         out: list[str] = []
         for i, part in enumerate(self.at_special.split(text)):
@@ -102,6 +102,7 @@ class TrieEncoder:
                 self.rank[k], self.left[k], self.right[k] = r, i, j
         self.may_follow: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
         sizes = np.array([len(x) for x in self.text_of], np.int64)
         self.sizes, self.starts = sizes, np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.pool = np.frombuffer(b"".join(self.text_of), np.uint8)
@@ -161,16 +162,21 @@ class TrieEncoder:
             out.reverse()
             yield out
 
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Encode the distinct words that aren't known yet."""
+    def encode(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """Ids of the distinct pieces, as little-endian unsigned 32-bit integers; short ones are remembered."""
         known = self.known
-        if len(known) > MEMORY:
+        if self.known_bytes > KNOWN_BYTES:
             known.clear()
-        if not known:
-            known.update({s: np.uint32(i).tobytes() for s, i in self.special.items()})
-        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in set(pieces).difference(known))
-        for (_, w), ids in zip(new, self.walk(b for b, _ in new), strict=True):
-            known[w] = np.array(ids, "<u4").tobytes()
+            self.known_bytes = 0
+        distinct = set(pieces)
+        out = {w: known[w] for w in distinct if w in known} | {s: np.uint32(i).tobytes() for s, i in self.special.items()}
+        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in distinct.difference(out))
+        for (b, w), ids in zip(new, self.walk(b for b, _ in new), strict=True):
+            out[w] = got = np.array(ids, "<u4").tobytes()
+            if len(b) <= LONG:
+                known[w] = got
+                self.known_bytes += 150 + len(b) + len(got)  # with what Python needs for two strings and a place
+        return out
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The UTF-8 bytes that the ids stand for."""
@@ -180,26 +186,47 @@ class TrieEncoder:
         return self.pool[at + np.arange(len(at))]
 
 
+class Encoder:
+    """Texts of a column to ids: units found by numpy over the bytes of many texts, new ones encoded along their trie."""
+
+    def __init__(self, path: str):
+        self.split, self.trie = Splitter(path), TrieEncoder(path)
+        self.units = Units(self.learn, self.whole, list(self.split.specials))
+
+    def learn(self, units: list[str]) -> list[np.ndarray]:
+        pieces = [self.split.words(u) for u in units]
+        ids = self.trie.encode(w for p in pieces for w in p)
+        return [np.frombuffer(b"".join([ids[w] for w in p]), "<u4") for p in pieces]
+
+    def whole(self, text: str) -> np.ndarray:
+        pieces = self.split(text)
+        ids = self.trie.encode(pieces)
+        return np.frombuffer(b"".join([ids[w] for w in pieces]), "<u4")
+
+    def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin; one more entry than texts."""
+        ids, lengths = self.units(col)
+        return ids, np.concatenate(([0], np.cumsum(lengths)))
+
+
 @lru_cache(2)
-def _worker(path: str) -> tuple[Splitter, TrieEncoder]:
-    return Splitter(path), TrieEncoder(path)
+def _worker(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def encode_texts(path: str, docs: list[str]) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    split, trie = _worker(path)
-    pieces = [split(t) for t in docs]
-    trie.learn({w for p in pieces for w in p})
-    get = trie.known.__getitem__
-    return [b"".join(map(get, p)) for p in pieces]
+    ids, at = _worker(path)(pa.array(docs, pa.string()))
+    return [ids[a:z].astype("<u4").tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", round_trip: str | None = None) -> DataFrame:
     """df with a column of token ids (array<int>), and if named one that tells whether they decode to the text again.
 
     Columns of these names give way. A null text has no ids, as an empty one. Special tokens in a text become their
-    own ids. Rows stay where they are: no shuffle, and a worker's memory is bounded by MEMORY words and one Arrow
-    batch. Repeated rows give repeated results, an empty table none.
+    own ids. Rows stay where they are: no shuffle. A worker's memory is bounded by units.MEMORY and units.POOL,
+    KNOWN_BYTES and one Arrow batch, so by the longest text and not by their number. Repeated rows give repeated results,
+    an empty table none.
     """
     df = df.drop(*(c for c in (ids, round_trip) if c and c != text))
     schema = StructType(list(df.schema.fields)).add(ids, ArrayType(IntegerType()))
@@ -211,12 +238,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", round
         for whole in batches:
             for b in chunks(whole, text):
                 col = b.column(b.schema.get_field_index(text))
-                got = encode_texts(path, texts(col))
-                flat = np.frombuffer(b"".join(got), "<u4").view(np.int32)
-                ends = np.cumsum([0, *(len(x) // 4 for x in got)])
-                more, names = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], [ids]
+                flat, ends = _worker(path)(col)
+                more, names = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))], [ids]
                 if round_trip:
-                    trie = _worker(path)[1]
+                    trie = _worker(path).trie
                     sizes = np.concatenate(([0], np.cumsum(trie.sizes[flat])))[ends]
                     back = trie.decode(flat).tobytes()
                     off, data = offsets_and_bytes(col)
@@ -235,7 +260,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches):
         claim("bpe", _worker.cache_clear)
-        trie = _worker(path)[1]
+        trie = _worker(path).trie
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
@@ -248,21 +273,25 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
 
 def digest(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids and of the text that they decode to, for each row of (doc_id, text)."""
+    """doc_id, n_tokens, SHA-256 of the ids and of the text that they decode to, for each row of (doc_id, text).
+
+    Null and empty texts have no ids; repeated rows give repeated results, an empty table none. Ids may be null. Other
+    columns are not looked at.
+    """
 
     def run(batches):
         claim("bpe", _worker.cache_clear)
-        trie = _worker(path)[1]
+        encoder = _worker(path)
         for whole in batches:
             for b in chunks(whole, "text"):
-                got = encode_texts(path, texts(b.column(1)))
-                flat = np.frombuffer(b"".join(got), "<u4")
-                back = trie.decode(flat).tobytes()
-                ends = np.cumsum([len(x) // 4 for x in got])
-                sizes = np.concatenate(([0], np.cumsum(trie.sizes[flat])))
-                cuts = np.concatenate(([0], sizes[ends]))
-                # bytes that aren't UTF-8 would decode to U+FFFD
-                told = [hashlib.sha256(back[a:z].decode("utf-8", "replace").encode()).hexdigest() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in got], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got]), pa.array(told)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                flat, ends = encoder(b.column(1))
+                back = encoder.trie.decode(flat)
+                cuts = np.concatenate(([0], np.cumsum(encoder.trie.sizes[flat])))[ends]
+                flat, sent, coded = flat.astype("<u4"), [], []
+                for a, z, p, q in zip(ends[:-1].tolist(), ends[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    sent.append(hashlib.sha256(flat[a:z]).hexdigest())
+                    # bytes that aren't UTF-8 would decode to U+FFFD
+                    coded.append(hashlib.sha256(back[p:q].tobytes().decode("utf-8", "replace").encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends)), pa.array(sent), pa.array(coded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

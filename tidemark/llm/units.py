@@ -19,9 +19,10 @@ import pyarrow as pa
 from tidemark.llm.common import offsets_and_bytes
 from tidemark.llm.words import mix
 
-#: Units that a worker remembers before it starts afresh: about 80 bytes each.
+#: Units that a worker remembers before it starts afresh: up to 64 bytes each beside their ids. One long text may need more.
 MEMORY = 1_900_000
-SLOTS = 1 << 22
+#: Ids of remembered units before a worker starts afresh, 4 bytes each: long units are as few as their ids allow.
+POOL = 12 << 20
 _meet = re.compile(r"\s\s").search
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -51,21 +52,26 @@ class Units:
         self._clear()
 
     def _clear(self) -> None:
-        self.size = 0
-        self.keys, self.check = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.start, self.length = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.size, self.used = 0, 0
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self._slots(1 << 16)
+
+    def _slots(self, n: int) -> None:
+        """An empty table of n places, a power of two."""
+        self.slots = n
+        self.keys, self.check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.start, self.length = np.zeros(n, np.int64), np.zeros(n, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 if unknown."""
         out = np.full(len(h), -1, np.int64)
-        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        left, slot = np.arange(len(h)), (h & np.uint64(self.slots - 1)).astype(np.int64)
         while len(left):
             there = self.keys[slot]
             hit = there == h[left]
             out[left[hit]] = slot[hit]
             on = ~hit & (there != 0)
-            left, slot = left[on], (slot[on] + 1) & (SLOTS - 1)
+            left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
         return out
 
     def _put(self, h: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
@@ -78,18 +84,27 @@ class Units:
         start = self.used + np.cumsum(length) - length
         self.used += len(flat)
         self.size += len(h)
-        left, slot = np.arange(len(h)), (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        if 2 * self.size > self.slots:
+            there = np.flatnonzero(self.keys)
+            old = [x[there] for x in (self.keys, self.check, self.start, self.length)]
+            self._slots(1 << (2 * self.size).bit_length())
+            self._insert(*old)
+        self._insert(h, check, start, length)
+
+    def _insert(self, h: np.ndarray, check: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        mask = self.slots - 1
+        left, slot = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
         while len(left):
             free = self.keys[slot] == 0
             self.keys[slot[free]] = h[left[free]]  # of several for one slot the last stays
             mine = free & (self.keys[slot] == h[left])
             at, who = slot[mine], left[mine]
             self.check[at], self.start[at], self.length[at] = check[who], start[who], length[who]
-            left, slot = left[~mine], (slot[~mine] + 1) & (SLOTS - 1)
+            left, slot = left[~mine], (slot[~mine] + 1) & mask
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        if self.size > MEMORY:
+        if self.size > MEMORY or self.used > POOL:
             self._clear()
         off, data = offsets_and_bytes(col)
         docs = [t or "" for t in col.to_pylist()]
