@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +55,7 @@ class Splitter:
 
     def words(self, text: str) -> list[str]:
         """Letters and numbers newer than Unicode 3.2 may class differently here and in the library; it then splits the text itself."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
+        if not text.isascii():
             new = set(text) - self.old
             if new:
                 known = {c for c in new if unicodedata.ucd_3_2_0.category(c) != "Cn"}
@@ -88,8 +88,6 @@ class TrieEncoder:
             self.text_of[i] = as_bytes(s)
         for s, i in self.special.items():
             self.text_of[i] = s.encode()
-        self.id_of = {self.text_of[i]: i for i in vocab.values()}
-        self.longest = max(map(len, self.id_of))
         # rank of a token: that of the merge which makes it; single bytes come first
         self.rank = [-1] * self.size
         self.left, self.right = list(range(self.size)), list(range(self.size))
@@ -100,23 +98,60 @@ class TrieEncoder:
             self.pair_rank[i, j] = r
             if self.rank[k] < 0:
                 self.rank[k], self.left[k], self.right[k] = r, i, j
-        self.may_follow: dict[tuple[int, int], bool] = {}
+        self.may_follow: dict[int, bool] = {}
+        self._suffixes({i: self.text_of[i] for i in vocab.values()})
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
         sizes = np.array([len(x) for x in self.text_of], np.int64)
         self.sizes, self.starts = sizes, np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.pool = np.frombuffer(b"".join(self.text_of), np.uint8)
 
+    def _suffixes(self, tokens: dict[int, bytes]) -> None:
+        """The automaton of Aho and Corasick (1975) that gives the vocabulary's suffixes of a text, longest first.
+
+        step: node and byte to the node of one byte more. back: the node of the longest proper suffix. top: the longest
+        token that a node's string ends with. shorter: for a token, the next such token.
+        """
+        step: dict[int, int] = {}
+        back, top = [0], [-1]
+        level = [(0, t, x) for t, x in tokens.items()]
+        ends = [0] * self.size
+        depth = 0
+        while level:
+            made, on, own = [], [], {}
+            for node, t, x in level:
+                key = node << 8 | x[depth]
+                new = step.get(key)
+                if new is None:
+                    step[key] = new = len(back)
+                    back.append(-1)
+                    top.append(-1)
+                    made.append((node, x[depth], new))
+                if len(x) == depth + 1:
+                    ends[t], own[new] = new, t
+                else:
+                    on.append((new, t, x))
+            for node, byte, new in made:
+                while node:
+                    node = back[node]
+                    low = step.get(node << 8 | byte)
+                    if low is not None:
+                        back[new] = low
+                        break
+                else:
+                    back[new] = 0
+            for _, _, new in made:
+                top[new] = own.get(new, top[back[new]])
+            level, depth = on, depth + 1
+        self.step, self.back, self.top = step, back, top
+        self.shorter = [top[back[n]] for n in ends]
+
     def follows(self, a: int, b: int) -> bool:
         """Whether BPE leaves a b as these two tokens.
 
         Both are undone merge by merge, latest first; at each moment the pair that meets at the border must not
         be one that BPE would have merged before the merge just undone.
         """
-        key = (a, b)
-        known = self.may_follow.get(key)
-        if known is not None:
-            return known
         if len(self.may_follow) > 300_000:
             self.may_follow.clear()
         rank, pairs = self.rank, self.pair_rank
@@ -135,25 +170,40 @@ class TrieEncoder:
                 undone, x = rx, self.right[x]
             else:
                 undone, y = ry + 1, self.left[y]
-        self.may_follow[key] = ok
+        self.may_follow[a * self.size + b] = ok
         return ok
 
     def walk(self, words: Iterable[bytes]) -> Iterator[list[int]]:
         """The ids of each word; words must be sorted for prefixes to be shared."""
-        ids, follows, size, longest = self.id_of, self.follows, self.sizes.tolist(), self.longest
-        last: list[int] = [-1]  # last[i]: the last token of the encoding of the first i bytes on the path
+        step, back, top, shorter, width = self.step.get, self.back, self.top, self.shorter, self.size
+        known, size = self.may_follow.get, self.sizes.tolist()
+        # for the first i bytes on the path: the last token of their encoding, and the automaton's node
+        last: list[int] = [-1]
+        nodes: list[int] = [0]
         before = b""
         for w in words:
             n, shared, most = len(w), 0, min(len(w), len(before))
             while shared < most and w[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            for i in range(shared + 1, n + 1):
-                for at in range(max(0, i - longest), i):
-                    t = ids.get(w[at:i])
-                    if t is not None and (not at or follows(last[at], t)):
-                        last.append(t)
+            del last[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[-1]
+            for i in range(shared, n):
+                byte = w[i]
+                new = step(node << 8 | byte)
+                while new is None:
+                    node = back[node]
+                    new = step(node << 8 | byte)
+                nodes.append(node := new)
+                t = top[node]
+                while at := i + 1 - size[t]:
+                    a = last[at]
+                    ok = known(a * width + t)
+                    if ok is None:
+                        ok = self.follows(a, t)
+                    if ok:
                         break
+                    t = shorter[t]
+                last.append(t)
             before = w
             out, i = [], n
             while i:
@@ -162,18 +212,19 @@ class TrieEncoder:
             out.reverse()
             yield out
 
-    def encode(self, pieces: Iterable[str]) -> dict[str, bytes]:
+    def encode(self, pieces: Iterable[str], remember: bool = True) -> dict[str, bytes]:
         """Ids of the distinct pieces, as little-endian unsigned 32-bit integers; short ones are remembered."""
         known = self.known
         if self.known_bytes > KNOWN_BYTES:
             known.clear()
             self.known_bytes = 0
         distinct = set(pieces)
-        out = {w: known[w] for w in distinct if w in known} | {s: np.uint32(i).tobytes() for s, i in self.special.items()}
-        new = sorted((w.encode("utf-8", "surrogatepass"), w) for w in distinct.difference(out))
-        for (b, w), ids in zip(new, self.walk(b for b, _ in new), strict=True):
-            out[w] = got = np.array(ids, "<u4").tobytes()
-            if len(b) <= LONG:
+        out = {w: known[w] for w in distinct & known.keys()} | {s: np.uint32(i).tobytes() for s, i in self.special.items()}
+        new = sorted(distinct.difference(out))  # in order of code points, which is the order of their bytes
+        coded = [w.encode("utf-8", "surrogatepass") for w in new]
+        for w, b, ids in zip(new, coded, self.walk(coded), strict=True):
+            out[w] = got = struct.pack(f"<{len(ids)}I", *ids)
+            if remember and len(b) <= LONG:
                 known[w] = got
                 self.known_bytes += 150 + len(b) + len(got)  # with what Python needs for two strings and a place
         return out
@@ -193,10 +244,11 @@ class Encoder:
         self.split, self.trie = Splitter(path), TrieEncoder(path)
         self.units = Units(self.learn, self.whole, list(self.split.specials))
 
-    def learn(self, units: list[str]) -> list[np.ndarray]:
-        pieces = [self.split.words(u) for u in units]
-        ids = self.trie.encode(w for p in pieces for w in p)
-        return [np.frombuffer(b"".join([ids[w] for w in p]), "<u4") for p in pieces]
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = list(map(self.split.words, units))
+        ids = self.trie.encode(chain.from_iterable(pieces), remember=False)
+        found = [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in pieces]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def whole(self, text: str) -> np.ndarray:
         pieces = self.split(text)

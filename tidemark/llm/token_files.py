@@ -135,7 +135,7 @@ class LibraryEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def learn(self, units: list[str]) -> list[np.ndarray]:
+    def learn(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Units with white space only in front go to the library as lines of one text, split again at the line ends."""
         out: list = [None] * len(units)
         lines, places = [], []
@@ -156,7 +156,7 @@ class LibraryEncoder:
             for i, z in zip(places[at : at + 20_000], ends, strict=True):
                 out[i] = np.concatenate((line, ids[a:z])) if units[i][0] == "\n" else ids[a:z]
                 a = z + 1
-        return out
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def __call__(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.encode(col)

@@ -46,8 +46,8 @@ def _power(which: int, position: np.ndarray, top: int) -> np.ndarray:
 
 
 class Units:
-    def __init__(self, learn: Callable[[list[str]], list[np.ndarray]], whole: Callable[[str], np.ndarray], specials: list[str]):
-        """learn: ids of strings of one unit each; whole: ids of any text."""
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], specials: list[str]):
+        """learn: ids of strings of one unit each, side by side, and how many each has; whole: ids of any text."""
         self.learn, self.whole, self.specials = learn, whole, specials
         self._clear()
 
@@ -74,10 +74,8 @@ class Units:
             left, slot = left[on], (slot[on] + 1) & (self.slots - 1)
         return out
 
-    def _put(self, h: np.ndarray, check: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Remember distinct unknown units."""
-        length = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.concatenate(ids)
+    def _put(self, h: np.ndarray, check: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        """Remember distinct unknown units; slots found before are void."""
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -145,8 +143,12 @@ class Units:
             at = unknown[at]
             raw = data.tobytes()
             units = [("\n" if x else "") + raw[a : a + z].decode("utf-8") for a, z, x in zip(first[at].tolist(), spans[at].tolist(), lead[at].tolist(), strict=True)]
-            self._put(new, check[at], self.learn(units))
-            slot[unknown] = self._find(h[unknown])
+            slots = self.slots
+            self._put(new, check[at], *self.learn(units))
+            if self.slots == slots:
+                slot[unknown] = self._find(h[unknown])
+            else:
+                slot = self._find(h)
         odd = np.unique(owner[self.check[slot] != check])  # two units of one hash
         start, length = self.start[slot] + lead, self.length[slot] - lead
         if len(odd):
