@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ HEAD = 1 << 18
 #: Size of the vectors, pairs seen in training, noise tokens for each.
 WIDTH, SEEN, BATCH, NOISE = 24, 1_500_000, 2048, 8
 SMOOTH = 0.1
-#: The pass over all texts: triples of a step, its noise words and noise classes, rate; most classes; tokens scored at once.
-STEP, NOISE_WORDS, NOISE_CLASSES, RATE, MOST_CLASSES, AT_ONCE = 4096, 64, 32, 0.1, 512, 8192
+#: The pass over all texts: triples of a step, its noise words and noise classes, rate; most classes; numbers scored at once.
+STEP, NOISE_WORDS, NOISE_CLASSES, RATE, MOST_CLASSES, AT_ONCE = 4096, 64, 32, 0.1, 512, 1 << 18
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,36 +196,48 @@ class Vectors:
         w, m = delta[:n], delta[n + k :]
         return Vectors(self.r + w[:, :WIDTH], self.out + w[:-1, WIDTH:], self.up + delta[n : n + k, WIDTH:], self.c + np.stack([m[:, :WIDTH], m[:, WIDTH : 2 * WIDTH]]), self.first, self.share)
 
-    def context(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """q with a 1 behind it, for b."""
-        q = np.ones((len(one), WIDTH + 1), np.float32)
-        q[:, :WIDTH] = self.r[one] @ self.c[0] + self.r[two] @ self.c[1]
-        return q
+    @cached_property
+    def turned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r C1, r C2 with a 1 behind it, for b, and the class of each word: what scoring looks up."""
+        two = np.ones((len(self.r), WIDTH + 1), np.float32)
+        two[:, :WIDTH] = self.r @ self.c[1]
+        one = np.zeros_like(two)
+        one[:, :WIDTH] = self.r @ self.c[0]
+        return one, two, self.kind.astype(np.int32)
 
     def log10(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each word after the two words before it."""
-        kind, out = self.kind[word], np.empty(len(word))
-
-        def among(q, table, at):
-            logit = q @ table.T
-            logit -= logit.max(1, keepdims=True)
-            chosen = logit[np.arange(len(at)), at].astype(np.float64)
-            return chosen - np.log(np.exp(logit, out=logit).sum(1, dtype=np.float64))
-
-        q = np.empty((len(word), WIDTH + 1), np.float32)
-        for a in range(0, len(word), AT_ONCE):
-            z = a + AT_ONCE
-            q[a:z] = self.context(one[a:z], two[a:z])
-            out[a:z] = among(q[a:z], self.up, kind[a:z])
+        first, second, kind = self.turned
+        kind, out = kind[word], np.zeros(len(word))
         order = np.argsort(kind, kind="stable")
-        ends = np.searchsorted(kind[order], np.arange(len(self.up) + 1))
+        place, kind = word[order], kind[order]
+        q = first.take(one[order], 0)
+        q += second.take(two[order], 0)
+        longest = float(np.sqrt(np.einsum("bd,bd->b", q, q).max(initial=0)))
+
+        def among(table, a, z, at):
+            """Adds the log probabilities of rows `at` of the table to out[a:z], a run in order of class."""
+            ones, turned = np.ones(len(table), np.float32), np.ascontiguousarray(table.T)
+            small = longest * float(np.sqrt(np.einsum("bd,bd->b", table, table).max())) < 60  # then no exp can overflow
+            most = max(1, AT_ONCE // len(table))
+            for i in range(a, z, most):
+                j = min(i + most, z)
+                logit = q[i:j] @ turned
+                top = 0.0
+                if not small:
+                    top = logit.max(1)
+                    logit -= top[:, None]
+                chosen = logit[np.arange(j - i), at[i:j]]
+                out[i:j] += chosen - np.log(np.exp(logit, out=logit) @ ones, dtype=np.float64)
+
+        among(self.up, 0, len(word), kind)
+        ends = np.searchsorted(kind, np.arange(len(self.up) + 1))
         for k in np.flatnonzero((np.diff(self.first) > 1) & (np.diff(ends) > 0)):
             lo, hi = self.first[k], self.first[k + 1]
-            most = max(1, (1 << 21) // (hi - lo))
-            for a in range(ends[k], ends[k + 1], most):
-                at = order[a : min(a + most, ends[k + 1])]
-                out[at] += among(q[at], self.out[lo:hi], word[at] - lo)
-        return out / math.log(10)
+            among(self.out[lo:hi], ends[k], ends[k + 1], place - lo)
+        given = np.empty(len(word))
+        given[order] = out
+        return given / math.log(10)
 
 
 def start(triples: np.ndarray, counts: np.ndarray, rare: int) -> Vectors:
@@ -237,7 +250,7 @@ def start(triples: np.ndarray, counts: np.ndarray, rare: int) -> Vectors:
     of = np.append(np.arange(known), np.full(n + 1 - known, k - 1))
     out = np.hstack([v[of], b[of, None]])
     out[known:, WIDTH] += np.log(share[known:] / share[known:].sum())
-    most = min(MOST_CLASSES, math.isqrt(n) + 1)
+    most = min(MOST_CLASSES, math.isqrt(n) * 2 // 3 + 1)  # about where classes and words of a class cost least together
     root = np.cumsum(np.sqrt(share[:n]))
     kind = np.append(np.unique((root * (most / root[-1] * (1 - 1e-9))).astype(int), return_inverse=True)[1], -1) if n else np.array([-1])
     kind[-1] = kind.max() + 1
@@ -262,39 +275,54 @@ class Pass:
         self.met = np.zeros(len(begin.out), np.int64)
 
     def _move(self, x: np.ndarray, held: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
-        """A step of the rows `at` (they may repeat), by their summed gradients."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
+        """A step of the rows `at` (in order; they may repeat), by their summed gradients."""
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        g, rows = np.add.reduceat(grad[order], first, axis=0), at[first]
-        held[rows] += np.einsum("bd,bd->b", g, g)
-        x[rows] -= RATE * g / np.sqrt(held[rows])[:, None]
+        if len(first) < len(at):
+            grad, at = np.add.reduceat(grad, first, axis=0), at[first]
+        held[at] += np.einsum("bd,bd->b", grad, grad)
+        grad *= (RATE / np.sqrt(held[at]))[:, None]
+        x[at] -= grad
 
     def _contrast(self, x: np.ndarray, held: np.ndarray, noise, q: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Gradient by q; moves the rows of x."""
+        """Gradient by q; moves the rows of x. `at` is in order."""
         edges, log_noise, k = noise
-        drawn = np.minimum(np.searchsorted(edges, self.rng.random(k)), len(x) - 1)
-        vectors, others = x[at], x[drawn]
-        right = -1 / (1 + np.exp(np.clip(np.einsum("bd,bd->b", q, vectors) - log_noise[at], -30, 30)))
-        wrong = 1 / (1 + np.exp(np.clip(log_noise[drawn] - q @ others.T, -30, 30)))
-        gq = right[:, None] * vectors + wrong @ others
-        self._move(x, held, np.concatenate([at, drawn]), np.concatenate([right[:, None] * q, wrong.T @ q]))
-        return gq[:, :WIDTH]
+        drawn = np.sort(np.minimum(np.searchsorted(edges, self.rng.random(k)), len(x) - 1))
+        vectors, others = x.take(at, 0), x[drawn]
+        right = np.einsum("bd,bd->b", q, vectors) - log_noise[at]
+        wrong = log_noise[drawn] - q @ others.T
+        for s in (right, wrong):  # 1 / (1 + exp(s)) in place; far out exp is infinite and the result 0
+            np.exp(s, out=s)
+            s += 1
+            np.reciprocal(s, out=s)
+        vectors *= right[:, None]
+        gq = wrong @ others
+        gq -= vectors
+        self._move(x, held, at, q * -right[:, None])
+        self._move(x, held, drawn, wrong.T @ q)
+        return gq
 
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
         self.met += np.bincount(word, minlength=len(self.met))
         now, order = self.now, self.rng.permutation(len(word))
-        for a in range(0, len(order), STEP):
-            at = order[a : a + STEP]
-            w, o, t = word[at], one[at], two[at]
-            ro, rt = now.r[o], now.r[t]
-            q = np.ones((len(at), WIDTH + 1), np.float32)
-            q[:, :WIDTH] = ro @ now.c[0] + rt @ now.c[1]
-            gq = self._contrast(now.out, self.states[1], self.noise[0], q, w) + self._contrast(now.up, self.states[2], self.noise[1], q, self.kind[w])
-            grad = np.stack([ro.T @ gq, rt.T @ gq]) / len(at)
-            self._move(now.r, self.states[0], np.concatenate([o, t]), np.concatenate([gq @ now.c[0].T, gq @ now.c[1].T]))
-            self.state_c += grad * grad
-            now.c -= RATE / 10 * grad / np.sqrt(self.state_c)
+        word, one, two = (x.astype(np.int32) for x in (word, one, two))
+        with np.errstate(over="ignore"):
+            for a in range(0, len(order), STEP):
+                at = order[a : a + STEP]
+                at = at[np.argsort(word[at])]  # words in order have their classes in order
+                w, o, t = word[at], one[at], two[at]
+                ro, rt = now.r.take(o, 0), now.r.take(t, 0)
+                q = np.empty((len(at), WIDTH + 1), np.float32)
+                q[:, :WIDTH] = ro @ now.c[0] + rt @ now.c[1]
+                q[:, WIDTH] = 1
+                gq = self._contrast(now.out, self.states[1], self.noise[0], q, w)
+                gq += self._contrast(now.up, self.states[2], self.noise[1], q, self.kind[w])
+                gq = np.ascontiguousarray(gq[:, :WIDTH])
+                grad = np.stack([ro.T @ gq, rt.T @ gq]) / len(at)
+                rows = np.concatenate([o, t])
+                by = np.argsort(rows)
+                self._move(now.r, self.states[0], rows[by], np.concatenate([gq @ now.c[0].T, gq @ now.c[1].T]).take(by, 0))
+                self.state_c += grad * grad
+                now.c -= RATE / 10 * grad / np.sqrt(self.state_c)
 
     def changes(self, begin: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, occurrences and changes of the rows that were met."""
