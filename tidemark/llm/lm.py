@@ -9,8 +9,9 @@ gives where to start: a word outside them has the vectors of "rare". From there
 training texts, with noise from the word frequencies; a row's changes are averaged over the tasks by how often each met
 it. So both the words and the steps grow with the corpus.
 
-Words are parted by falling frequency into about sqrt(words) classes, whose scores are fitted in the same way. A score
-is normalised over the classes, then over the words of the class. A rare token's probability within "rare" is
+Words are parted by falling frequency into classes, at most MOST_CLASSES, and these into groups, whose scores are fitted
+in the same way. A score is normalised over the groups, then over the classes of the group, then over the words of the
+class. A rare token's probability within "rare" is
 (c + 0.1) / (n + 0.1 (v + 1)), so all known words and one unknown word together have probability one.
 
 Counts of the HEAD most frequent words are broadcast (3 MB); those of the rest meet the texts' rare words by a join.
@@ -40,8 +41,8 @@ HEAD = 1 << 18
 #: Size of the vectors, pairs seen in training, noise tokens for each.
 WIDTH, SEEN, BATCH, NOISE = 24, 1_500_000, 2048, 8
 SMOOTH = 0.1
-#: The pass over all texts: triples of a step, its noise words and noise classes, rate; most classes; numbers scored at once.
-STEP, NOISE_WORDS, NOISE_CLASSES, RATE, MOST_CLASSES, AT_ONCE = 4096, 64, 32, 0.1, 512, 1 << 18
+#: The pass over all texts: triples of a step, its noise words, classes and groups, rate; most classes; numbers scored at once.
+STEP, NOISE_WORDS, NOISE_CLASSES, NOISE_GROUPS, RATE, MOST_CLASSES, AT_ONCE = 4096, 64, 32, 16, 0.1, 1024, 1 << 18
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +165,10 @@ def fit(triples: np.ndarray, seed: int = 7) -> np.ndarray:
 
 @dataclass
 class Vectors:
-    """r: of words, "rare" and the edge. out: v and b of words and "rare"; up: of the classes, "rare" the last. c: C1, C2.
+    """r: of words, "rare" and the edge. out: v and b of words and "rare"; up: of classes, "rare" the last, then groups. c: C1, C2.
 
-    first: the first word of each class, then of "rare", then the end; words stand by falling frequency. share: the
-    frequencies of words and "rare".
+    first: the first word of each class, then of "rare", then the end; words stand by falling frequency. group: the first
+    class of each group, then the end. share: the frequencies of words and "rare".
     """
 
     r: np.ndarray
@@ -175,15 +176,26 @@ class Vectors:
     up: np.ndarray
     c: np.ndarray
     first: np.ndarray
+    group: np.ndarray
     share: np.ndarray
 
     @property
     def kind(self) -> np.ndarray:
         """The class of each word."""
-        return np.repeat(np.arange(len(self.up)), np.diff(self.first))
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    @property
+    def kin(self) -> np.ndarray:
+        """The group of each class."""
+        return np.repeat(np.arange(len(self.group) - 1), np.diff(self.group))
 
     def copy(self, to) -> Vectors:
-        return Vectors(*(x.astype(to) for x in (self.r, self.out, self.up, self.c)), self.first, self.share)
+        return Vectors(*(x.astype(to) for x in (self.r, self.out, self.up, self.c)), self.first, self.group, self.share)
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        """Numbers of words summed by class, then by group."""
+        classes = np.add.reduceat(of_words, self.first[:-1])
+        return np.concatenate([classes, np.add.reduceat(classes, self.group[:-1])])
 
     def rows(self) -> np.ndarray:
         """All fitted numbers as rows: words, rare, edge; classes; the matrices."""
@@ -194,7 +206,7 @@ class Vectors:
     def moved(self, delta: np.ndarray) -> Vectors:
         n, k = len(self.r), len(self.up)
         w, m = delta[:n], delta[n + k :]
-        return Vectors(self.r + w[:, :WIDTH], self.out + w[:-1, WIDTH:], self.up + delta[n : n + k, WIDTH:], self.c + np.stack([m[:, :WIDTH], m[:, WIDTH : 2 * WIDTH]]), self.first, self.share)
+        return Vectors(self.r + w[:, :WIDTH], self.out + w[:-1, WIDTH:], self.up + delta[n : n + k, WIDTH:], self.c + np.stack([m[:, :WIDTH], m[:, WIDTH : 2 * WIDTH]]), self.first, self.group, self.share)
 
     @cached_property
     def turned(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,8 +227,8 @@ class Vectors:
         q += second.take(two[order], 0)
         longest = float(np.sqrt(np.einsum("bd,bd->b", q, q).max(initial=0)))
 
-        def among(table, a, z, at):
-            """Adds the log probabilities of rows `at` of the table to out[a:z], a run in order of class."""
+        def among(table, a, z, at, base=0):
+            """Adds the log probabilities of the table's rows at[a:z] - base to out[a:z], a run in order of class."""
             ones, turned = np.ones(len(table), np.float32), np.ascontiguousarray(table.T)
             small = longest * float(np.sqrt(np.einsum("bd,bd->b", table, table).max())) < 60  # then no exp can overflow
             most = max(1, AT_ONCE // len(table))
@@ -227,14 +239,19 @@ class Vectors:
                 if not small:
                     top = logit.max(1)
                     logit -= top[:, None]
-                chosen = logit[np.arange(j - i), at[i:j]]
+                chosen = logit.take(np.arange(j - i) * len(table) + (at[i:j] - base))
                 out[i:j] += chosen - np.log(np.exp(logit, out=logit) @ ones, dtype=np.float64)
 
-        among(self.up, 0, len(word), kind)
-        ends = np.searchsorted(kind, np.arange(len(self.up) + 1))
-        for k in np.flatnonzero((np.diff(self.first) > 1) & (np.diff(ends) > 0)):
-            lo, hi = self.first[k], self.first[k + 1]
-            among(self.out[lo:hi], ends[k], ends[k + 1], place - lo)
+        def within(table, bounds, at, whose):
+            """The same for the rows between each two bounds, by where `whose`, in order, has their number."""
+            ends = np.searchsorted(whose, np.arange(len(bounds)))
+            for k in np.flatnonzero((np.diff(bounds) > 1) & (np.diff(ends) > 0)):
+                among(table[bounds[k] : bounds[k + 1]], ends[k], ends[k + 1], at, bounds[k])
+
+        kin = self.kin[kind]
+        among(self.up[len(self.first) - 1 :], 0, len(word), kin)
+        within(self.up, self.group, kind, kin)
+        within(self.out, self.first, place, kind)
         given = np.empty(len(word))
         given[order] = out
         return given / math.log(10)
@@ -250,15 +267,28 @@ def start(triples: np.ndarray, counts: np.ndarray, rare: int) -> Vectors:
     of = np.append(np.arange(known), np.full(n + 1 - known, k - 1))
     out = np.hstack([v[of], b[of, None]])
     out[known:, WIDTH] += np.log(share[known:] / share[known:].sum())
-    most = min(MOST_CLASSES, math.isqrt(n) * 2 // 3 + 1)  # about where classes and words of a class cost least together
-    root = np.cumsum(np.sqrt(share[:n]))
-    kind = np.append(np.unique((root * (most / root[-1] * (1 - 1e-9))).astype(int), return_inverse=True)[1], -1) if n else np.array([-1])
-    kind[-1] = kind.max() + 1
-    first = np.searchsorted(kind, np.arange(kind[-1] + 2))
+
+    def parts(weights, most):
+        """First places of at most `most` runs of near equal sums of square roots, then of the last weight, then the end."""
+        n = len(weights) - 1
+        root = np.cumsum(np.sqrt(weights[:n]))
+        kind = np.append(np.unique((root * (most / root[-1] * (1 - 1e-9))).astype(int), return_inverse=True)[1], -1) if n else np.array([-1])
+        kind[-1] = kind.max() + 1
+        return np.searchsorted(kind, np.arange(kind[-1] + 2))
+
+    first = parts(share, min(MOST_CLASSES, math.isqrt(n) * 5 // 2 + 1))  # about where the three levels cost least together
     sizes = np.add.reduceat(share, first[:-1])
-    up = np.add.reduceat(out * share[:, None], first[:-1]) / sizes[:, None]
-    up[:, WIDTH] = np.log(np.add.reduceat(np.exp(out[:, WIDTH].astype(float)), first[:-1]))
-    return Vectors(r[np.append(of, k)].astype(np.float32), out.astype(np.float32), up.astype(np.float32), np.stack(c), first, share)
+    group = parts(sizes, math.isqrt(len(sizes)) + 1)
+
+    def over(rows, weights, bounds):
+        """Vectors of the parts: means of their rows, and biases that hold their sums."""
+        up = np.add.reduceat(rows * weights[:, None], bounds[:-1]) / np.add.reduceat(weights, bounds[:-1])[:, None]
+        up[:, WIDTH] = np.log(np.add.reduceat(np.exp(rows[:, WIDTH].astype(float)), bounds[:-1]))
+        return up
+
+    classes = over(out, share, first)
+    up = np.vstack([classes, over(classes, sizes, group)])
+    return Vectors(r[np.append(of, k)].astype(np.float32), out.astype(np.float32), up.astype(np.float32), np.stack(c), first, group, share)
 
 
 class Pass:
@@ -267,11 +297,14 @@ class Pass:
     def __init__(self, begin: Vectors, seed: int):
         self.now = begin.copy(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.kind = begin.kind
+        self.kind = begin.kind.astype(np.int32)
+        self.kin = begin.kin.astype(np.int32)[self.kind]
+        self.classes = len(begin.first) - 1
         self.states = [np.ones(len(x), np.float32) for x in (self.now.r, self.now.out, self.now.up)]
         self.state_c = np.full_like(self.now.c, 1e-2)
-        sizes = np.add.reduceat(begin.share, begin.first[:-1])
-        self.noise = [(np.cumsum(x), np.log(k * x).astype(np.float32), k) for x, k in ((begin.share, NOISE_WORDS), (sizes, NOISE_CLASSES))]
+        up = begin.sums(begin.share)
+        levels = (begin.share, NOISE_WORDS), (up[: self.classes], NOISE_CLASSES), (up[self.classes :], NOISE_GROUPS)
+        self.noise = [(np.cumsum(x), np.log(k * x).astype(np.float32), k) for x, k in levels]
         self.met = np.zeros(len(begin.out), np.int64)
 
     def _move(self, x: np.ndarray, held: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
@@ -303,7 +336,7 @@ class Pass:
 
     def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray) -> None:
         self.met += np.bincount(word, minlength=len(self.met))
-        now, order = self.now, self.rng.permutation(len(word))
+        now, k, order = self.now, self.classes, self.rng.permutation(len(word))
         word, one, two = (x.astype(np.int32) for x in (word, one, two))
         with np.errstate(over="ignore"):
             for a in range(0, len(order), STEP):
@@ -315,7 +348,8 @@ class Pass:
                 q[:, :WIDTH] = ro @ now.c[0] + rt @ now.c[1]
                 q[:, WIDTH] = 1
                 gq = self._contrast(now.out, self.states[1], self.noise[0], q, w)
-                gq += self._contrast(now.up, self.states[2], self.noise[1], q, self.kind[w])
+                gq += self._contrast(now.up[:k], self.states[2][:k], self.noise[1], q, self.kind[w])
+                gq += self._contrast(now.up[k:], self.states[2][k:], self.noise[2], q, self.kin[w])
                 gq = np.ascontiguousarray(gq[:, :WIDTH])
                 grad = np.stack([ro.T @ gq, rt.T @ gq]) / len(at)
                 rows = np.concatenate([o, t])
@@ -327,7 +361,7 @@ class Pass:
     def changes(self, begin: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, occurrences and changes of the rows that were met."""
         total = int(self.met.sum())
-        n = np.concatenate([self.met, [total], np.add.reduceat(self.met, begin.first[:-1]), np.full(WIDTH, total)])
+        n = np.concatenate([self.met, [total], begin.sums(self.met), np.full(WIDTH, total)])
         at = np.flatnonzero(n)
         return at, n[at], (self.now.rows()[at] - begin.rows()[at].astype(np.float32))
 
