@@ -100,16 +100,63 @@ def test_jaccard_of_empty_and_repeated_rows(spark):
     assert jaccard.one_of_each(rows).count() == 3
 
 
-def test_bucket_overlaps_are_exact():
-    from tidemark.llm.jaccard import all_overlaps
+def test_answers_derived_from_other_sets_are_exact():
+    from tidemark.llm.jaccard import Answers, spanning
 
     rng = np.random.default_rng(1)
     core = rng.choice(10_000, 80, replace=False)
     sets = [np.unique(np.concatenate([rng.choice(core, 70, replace=False), rng.choice(500, rng.integers(0, 30)) + 20_000])).astype(np.uint64) for _ in range(60)]
-    got = all_overlaps(sets)
+    answers, parent = Answers(sets), list(range(60))
+    for i in rng.permutation(60):
+        got = answers.ask(i)
+        assert all(got[j] == len(np.intersect1d(sets[i], sets[j])) for j in range(60) if i != j)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
     for i in range(60):
         for j in range(i):
-            assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+            o = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * o >= 75 * (len(sets[i]) + len(sets[j]) - o):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+    want = [root(i) for i in range(60)]
+    assert len(set(want)) > 1
+    for first in (0, 17, 59):
+        assert spanning(sets, 75, 100, first).tolist() == want
+    assert spanning(sets, 75, 100, ask=np.arange(60)).tolist() == want
+
+
+def test_a_family_of_many_short_sets_takes_little_memory():
+    import resource
+
+    from tidemark.llm.jaccard import spanning
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.append(np.arange(8), rng.integers(100, 10_000, 2))).astype(np.uint64) for _ in range(40_000)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    label = spanning(sets, 3, 4)
+    assert (label == 0).mean() > 0.0 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+@pytest.mark.parametrize("block,sets", [(300, 1000), (10**6, 3)])
+def test_jaccard_of_buckets_in_blocks(spark, monkeypatch, block, sets):
+    from tidemark.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SETS", sets)
+    rng, texts = random.Random(7), []
+    for _ in range(4):
+        base = prose(rng, 60).split()
+        for _ in range(40):
+            w = base[:]
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(["new", "word", rng.choice(WORDS)])
+            texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs_of(spark, texts), 4, 85, 100).collect()}
+    assert got == dict(enumerate(components(texts, 4, 85, 100)))
 
 
 def library():

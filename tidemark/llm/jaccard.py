@@ -6,17 +6,18 @@ similarity share a token in the first n - ceil(t n) + 1 of each: these prefixes
 
 Relations between sets save the rest of the work:
 
-* index level: a list is kept in blocks by set size, and a probe opens only the blocks whose sizes can match; inside
-  them positions bound the overlap: up to a common token at places pa and pb two sets share at most the tokens
-  before it that stand in any other prefix at all, and behind it at most the shorter rest;
 * answer level: every list names a pivot, the set that shares most of its prefix, and sets whose lists agree on a
-  pivot are solved together in its bucket. There a set is what it lacks of the bucket's common tokens and what it has
-  beyond them, and the overlaps of all its sets follow from these small differences by matrix products:
-  |a & b| = common - lacks(a) - lacks(b) + |lacks a & lacks b| + |beyond a & beyond b|. Only a spanning tree of each
-  component leaves the task. A bucket of more than BLOCK shingles is solved in pairs of blocks.
-
-What is left are pairs of a list whose sets lie in different components and never met in a bucket. They are all
-examined, so components are exact. Pairs inside components or buckets are never made.
+  pivot meet in its bucket. There the pivot's answers, its overlaps with all the others, are counted from inverted
+  lists. The answers of the set most like the one before follow from those by the lists of the few tokens in which the
+  two differ. Sets linked to the pivot, at once or by others, need no answers of their own, as a link between two of
+  them would join nothing. A bucket of more than BLOCK shingles or SETS sets is dealt into blocks that all hold
+  the pivot; only sets that its own block leaves apart from the pivot go on to the other blocks;
+* index level: what is left are lists whose sets lie in different components. A list is kept in blocks by set size and
+  position. A probe first meets the heads of the blocks (largest and smallest size, first position, most tokens before
+  it) and opens only blocks that can hold a partner: up to a common token at places pa and pb two sets share at
+  most the tokens before it that stand in any other prefix at all, and behind it at most the shorter rest.
+
+All pairs that are left so are examined, so components are exact. Pairs inside components or buckets are never made.
 """
 
 from __future__ import annotations
@@ -40,10 +41,8 @@ from tidemark.llm.words import Lookup, frequent, sequence_hash, shingles, word_h
 HEAD = 1 << 18
 #: Rounds of buckets: a second and third only if more than PAIRS_PER_ENTRY pairs for each list entry remain.
 ROUNDS, PAIRS_PER_ENTRY = 3, 30
-#: Shingles of a block of a bucket.
-BLOCK = 200_000
-#: Tokens of at most so many sets of a bucket are counted pair by pair, others by matrix products.
-FEW = 12
+#: Shingles and sets of a block of a bucket.
+BLOCK, SETS = 400_000, 20_000
 #: Rows of the table of documents to compare that may be broadcast: 60 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -181,73 +180,127 @@ def overlaps(pairs: DataFrame, rows: DataFrame, sig: DataFrame, k: int, head) ->
     return out
 
 
-def all_overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlaps [set, set] of all the sets of a bucket, from their differences to its common tokens; the diagonal is void."""
-    m = len(sets)
-    owner = np.repeat(np.arange(m), [len(x) for x in sets])
-    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    out = np.zeros((m, m), np.float32)
-
-    def add(columns: np.ndarray, lacking: bool) -> None:
-        """Dense products, some columns at a time."""
-        place = np.full(len(times), -1)
-        for at in range(0, len(columns), 2048):
-            part = columns[at : at + 2048]
-            place[part] = np.arange(len(part))
-            here = place[token] >= 0
-            x = np.zeros((m, len(part)), np.float32)
-            x[owner[here], place[token[here]]] = 1
-            place[part] = -1
-            if lacking:
-                x = 1 - x
-                lacks = x.sum(1)
-                out[:] += len(part) - lacks[:, None] - lacks[None, :]
-            out[:] += x @ x.T
-
-    add(np.flatnonzero((times > m / 2) & (times > 1)), True)
-    add(np.flatnonzero((times <= m / 2) & (times > FEW)), False)
-    few = (times > 1) & (times <= FEW) & (times <= m / 2)
-    here = few[token]
-    order = np.lexsort((owner[here], token[here]))
-    who, what = owner[here][order], token[here][order]
-    codes = []
-    for d in range(2, FEW + 1):
-        group = who[times[what] == d].reshape(-1, d)
-        codes += [group[:, i] * m + group[:, j] for i in range(d) for j in range(i + 1, d)] if len(group) else []
-    if codes:
-        pairs = np.bincount(np.concatenate(codes), minlength=m * m).reshape(m, m).astype(np.float32)
-        out += pairs + pairs.T
-    return out
+class Answers:
+    """Overlaps of sets with all the sets of a bucket, each derived from the one before. Memory is linear in the sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.m = len(sets)
+        self.size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(self.m, dtype=np.int32), self.size)
+        _, token, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+        # tokens of one set have no list
+        shared = times[token] > 1
+        self.sets = np.split(token[shared], np.cumsum(np.bincount(owner[shared], minlength=self.m))[:-1])
+        order = np.argsort(token, kind="stable")
+        self.owners, self.ends = owner[order], np.concatenate(([0], np.cumsum(times)))
+        self.marked = np.zeros(len(times), bool)
+        self.now, self.overlap = -1, np.zeros(self.m, np.int64)
+
+    def _count(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of these tokens each set has, from their lists."""
+        length = self.ends[tokens + 1] - self.ends[tokens]
+        upto = np.cumsum(length)
+        at = np.repeat(self.ends[tokens] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)
+        return np.bincount(self.owners[at], minlength=self.m)
+
+    def _beyond(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        self.marked[b] = True
+        out = a[~self.marked[a]]
+        self.marked[b] = False
+        return out
+
+    def ask(self, i: int) -> np.ndarray:
+        """Overlaps of set i with every set, its own shared tokens included."""
+        new = self.sets[i]
+        if self.now >= 0:
+            old = self.sets[self.now]
+            more, less = self._beyond(new, old), self._beyond(old, new)
+            if len(more) + len(less) < len(new):
+                self.overlap = self.overlap + self._count(more) - self._count(less)
+                self.now = i
+                return self.overlap
+        self.now, self.overlap = i, self._count(new)
+        return self.overlap
+
+
+def spanning(sets: list[np.ndarray], num: int, den: int, first: int = 0, ask: np.ndarray | None = None) -> np.ndarray:
+    """For each set the least place that links reach, from the answers of the sets `ask` (None: whatever is needed).
+
+    Starting from `first`, the set that is most like the last one asked is next; sets already in the component of
+    `first` aren't asked, unless named.
+    """
+    answers = Answers(sets)
+    label = np.arange(answers.m)
+    open_ = np.ones(answers.m, bool)
+    if ask is not None:
+        open_[:] = False
+        open_[ask] = True
+        first = int(ask[0])
+    i = first
+    while True:
+        o = answers.ask(i)
+        open_[i] = False
+        linked = o * (num + den) >= num * (answers.size + answers.size[i])
+        linked[i] = True
+        classes = np.unique(label[linked])
+        if len(classes) > 1:
+            label[np.isin(label, classes)] = classes[0]
+        left = np.flatnonzero(open_ & (label != label[first]) if ask is None else open_)
+        if not len(left):
+            return label
+        i = int(left[np.argmax(o[left] / (answers.size[left] + answers.size[i] - o[left]))])
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(bucket, blocks, size) of members (uid, n, bucket)."""
+    need = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK)), F.ceil(F.count("*") / F.lit(SETS)))
+    return members.groupBy("bucket").agg(need.cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
 
 
 def solve_buckets(members: DataFrame, rows: DataFrame, sig: DataFrame, k: int, num: int, den: int, head) -> DataFrame:
     """Links (u, v) that span the components inside each bucket of members (uid, n, bucket)."""
-    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1")
-    placed = members.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("i")))
-    placed = placed.withColumn("j", F.explode(other)).select("uid", "bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    spark = rows.sparkSession
+    sized = _blocks(members)
+    deal = lambda df, to: df.withColumn(to, F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    placed = deal(members.join(sized, "bucket"), "i").select("uid", "n", "bucket", "i")
+    pivots = sized.select(F.col("bucket").alias("uid"), F.lit(0).alias("n"), "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    placed = placed.join(pivots.select("uid", "bucket", "i"), ["uid", "bucket", "i"], "left_anti").unionByName(pivots)
     placed, placed_path = cut(placed, "placed")
     whole, paths = _texts(placed.select("uid").distinct(), rows, sig)
 
     def solve(t: pa.Table) -> pa.Table:
-        uids, sets = t.column("uid").to_pylist(), _shingler(k, head)(t.column("text").combine_chunks())
-        m = len(sets)
-        label = np.arange(m)
-        if m > 1:
-            size = np.array([len(x) for x in sets], np.float64)
-            linked = all_overlaps(sets).astype(np.float64) * (num + den) >= num * (size[:, None] + size[None, :]) - 1e-6
-            np.fill_diagonal(linked, True)
-            while True:
-                new = np.where(linked, label[None, :], m).min(1)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-        at = np.flatnonzero(label != np.arange(m))
-        return pa.table({"u": pa.array([uids[i] for i in at], pa.int64()), "v": pa.array([uids[label[i]] for i in at], pa.int64())})
-
-    links, _ = cut(_few(placed).join(whole, "uid").groupBy("bucket", "i", "j").applyInArrow(solve, "u long, v long"), "bucket_links")
-    drop(rows.sparkSession, placed_path, *paths)
+        """Links; in place of its link, null for a set that stays apart from the pivot."""
+        uids, sets = t.column("uid").to_numpy(), _shingler(k, head)(t.column("text").combine_chunks())
+        pivot = int(np.flatnonzero(uids == t.column("bucket")[0].as_py())[0])
+        label = spanning(sets, num, den, pivot)
+        at = np.flatnonzero(label != np.arange(len(sets)))
+        apart = np.flatnonzero(label != label[pivot])
+        v = pa.array(np.append(uids[label[at]], np.zeros(len(apart), np.int64)), mask=np.arange(len(at) + len(apart)) >= len(at))
+        return pa.table({"u": uids[np.append(at, apart)], "v": v})
+
+    out, out_path = cut(_few(placed).join(whole, "uid").groupBy("bucket", "i").applyInArrow(solve, "u long, v long"), "bucket_links")
+    links = out.where("v is not null")
+    wide = sized.where("blocks > 1").select("bucket", F.col("blocks").alias("all"))
+    apart = members.join(out.where("v is null").select(F.col("u").alias("uid")), "uid").join(wide, "bucket").select("uid", "n", "bucket", "all")
+    apart, apart_path = cut(apart, "apart")
+    if apart.limit(1).count():
+        # sets apart from the pivot against the other blocks of their bucket
+        parts = _blocks(apart).unionByName(apart.groupBy("bucket").agg(F.lit(1).alias("blocks"), F.count("*").alias("size")).where("size = 1"))
+        asked = deal(apart.join(parts, "bucket"), "g").select("uid", "bucket", "g", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("i"), F.lit(True).alias("ask"))
+        there = placed.join(parts, "bucket").select("uid", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("g"), "i", F.lit(False).alias("ask"))
+        both, both_path = cut(asked.unionByName(there).groupBy("uid", "bucket", "g", "i").agg(F.max("ask").alias("ask")), "both")
+
+        def cross(t: pa.Table) -> pa.Table:
+            uids, sets = t.column("uid").to_numpy(), _shingler(k, head)(t.column("text").combine_chunks())
+            asked = np.flatnonzero(t.column("ask").to_numpy())
+            label = spanning(sets, num, den, ask=asked) if len(asked) else np.arange(len(sets))
+            at = np.flatnonzero(label != np.arange(len(sets)))
+            return pa.table({"u": uids[at], "v": uids[label[at]]})
+
+        more, _ = cut(both.join(whole, "uid").groupBy("bucket", "g", "i").applyInArrow(cross, "u long, v long"), "cross_links")
+        links = links.unionByName(more)
+        paths.append(both_path)
+    drop(spark, placed_path, apart_path, *paths)
     return links
 
 
@@ -317,12 +370,18 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         known = open_lists
         names = lambda x: [F.col(c).alias(c[0] + x if c != "before" else "v" + x) for c in ("n", "pos", "before", "comp", "met")]
         left = known.where(F.expr(f"pos < n - (2 * {num}L * n + {num + den - 1}) div {num + den} + 1")).select("token", block.alias("block"), F.col("uid").alias("a"), *names("a"))
-        right = known.select("token", F.explode(F.array(block, block - 1)).alias("block"), F.col("uid").alias("b"), *names("b"))
+        # a list's blocks: by size, each size's by position in eighths of it; a probe of one size opens two sizes
+        eighth = F.floor(F.col("pos") * 8 / F.col("n")).cast("int")
+        right = known.select("token", F.explode(F.array(block, block - 1)).alias("block"), eighth.alias("skip"), F.col("uid").alias("b"), *names("b"))
+        heads = right.groupBy("token", "block", "skip").agg(F.min("nb").alias("least"), F.max("nb").alias("most"), F.max(F.col("nb") - F.col("pb")).alias("rest"), F.max("vb").alias("front"), F.min("cb").alias("lo"), F.max("cb").alias("hi"))
+        opens = F.least("va", "front") + F.least(F.col("na") - F.col("pa"), F.col("rest")) >= F.expr(f"(({num}L * (na + least) + {num + den - 1}) div {num + den})")
+        opens = opens & (F.col("most") >= F.col("na")) & ((F.col("lo") < F.col("hi")) | (F.col("lo") != F.col("ca")))
+        left = left.join(heads, ["token", "block"]).where(opens).drop("least", "most", "rest", "front", "lo", "hi")
         larger = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
         apart = F.col("ca") != F.col("cb")
         for turn in range(ROUNDS):
             apart = apart & ~F.coalesce(F.get("ma", F.lit(turn)) == F.get("mb", F.lit(turn)), F.lit(False))
-        found = left.join(right, ["token", "block"]).where(larger & apart & possible)
+        found = left.join(right, ["token", "block", "skip"]).where(larger & apart & possible)
         bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
         pairs = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("na").alias("na"), F.min("nb").alias("nb")).where(bound >= need).select("a", "b", "na", "nb")
         pairs, pairs_path = cut(pairs, "pairs")
