@@ -529,6 +529,41 @@ def test_html_ids_made_from_headings_keep_their_text():
     assert html_text.Page(page).text([]) == f"One\n{long}\nTwo\n{long}\n{long}"
 
 
+def test_html_headline_in_the_articles_own_header():
+    from tidemark.llm import html_text
+
+    long = "w" * 300
+    page = f'<body><header class="site-header"><h1>Site</h1></header><article><header class="entry-header"><h1>Head</h1></header><div class="entry-content"><p>{long}</p></div></article></body>'
+    assert html_text.Page(page).text([]) == f"Head\n{long}"
+    page = f'<body><div class="post"><div class="post-header"><h1>Head</h1></div><div class="x"><p>{long}</p></div></div><div class="header">Site</div></body>'
+    assert html_text.Page(page).text([]) == f"Head\n{long}"
+
+
+def test_html_of_very_long_and_broken_pages_is_linear():
+    import time
+
+    from tidemark.llm import html_text
+
+    begun = time.process_time()
+    assert html_text.Page("<div class=x>" * 100_000 + "text").text([]) == "text"
+    assert html_text.Page("<a " * 350_000).text([]).startswith("<a <a ")
+    assert html_text.Page("<div>" * 50_000 + "</section>" * 50_000 + "t").text([]) == "t"
+    assert len(html_text.Page('<a "<" ' * 150_000).text([])) > 1_000_000
+    assert html_text.Page("<!" * 400_000 + ">x").text([]) == html_text.Page("<!" * 400_000 + ">x").text([])
+    assert len(html_text.Page("<p>" + "word " * 400_000).text([])) == 5 * 400_000 - 1
+    assert html_text.Page('<p title="a < b">t</p><svg width=1 /><p>u<script>"</p>').text([]) == "t\nu"
+    assert time.process_time() - begun < 60
+
+
+def test_html_templates_with_a_share_of_the_votes_are_kept(spark):
+    from tidemark.llm import html_text
+
+    names = "abcdefghijklmnopqrst"
+    rows = [(i, "https://h.org/", f'<body><div class="{names[i % 20]}"><p>{"w " * 80}</p></div></body>') for i in range(400)]
+    got = html_text.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 1 and len(got[0]["paths"]) >= 20
+
+
 def test_connected_components(spark):
     from tidemark.llm.components import connected
 
