@@ -11,6 +11,9 @@ found by one scan, and the cheapest choice that holds TARGET of them is used for
 that nearly the whole ordering; nothing is cut off to hide it.
 
 Equal vectors are indexed once, with their k + 1 smallest ids: no more can be among the k nearest.
+
+Cut points are as many as the bounded sample gives. Blocks beyond GROUP vectors are split by hash and a window's queries
+beyond QUERIES by hash too, so what meets in one task is bounded at every size.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ BLOCK, BLOCKS, PER_BLOCK = 1024, 16_384, 64
 PROBES, TARGET = 64, 0.96
 #: Blocks that are merged at most where windows are wide.
 MERGE = 16
+#: Vectors and queries that meet in one task at most, about: a fixed bound at every size of the index.
+GROUP, QUERIES = 1 << 16, 1 << 12
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -93,8 +98,19 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, dim: int, queries: bool, radius: int, subs: dict[tuple[int, int], int]) -> DataFrame:
-    """One row for each block that a vector (or a query's window) lies in: o, block, sub before df's columns."""
+def _nearest(q: np.ndarray, x: np.ndarray, rough: np.ndarray, ids: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k rows of x nearest to q; rough scores are within half the slack of them."""
+    at = np.arange(len(x)) if len(x) <= k else np.flatnonzero(rough >= np.partition(rough, len(x) - k)[len(x) - k] - slack)
+    exact = (x[at] * q).sum(1)
+    best = _best(exact, ids[at], k)
+    return at[best], exact[best]
+
+
+def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, dim: int, queries: bool, radius: int, subs: dict[tuple[int, int], int], parts_of: int = 1) -> DataFrame:
+    """One row for each block that a vector (or a query's window) lies in: o, block, sub before df's columns.
+
+    Each block has its sub-blocks by the vectors' hash, and `parts_of` of each by the queries' hash.
+    """
     blocks = edges.shape[1] + 1
     parts = np.ones((orderings, blocks), np.int64)
     for (o, block), times in subs.items():
@@ -115,13 +131,13 @@ def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, di
                     here = at + d
                     ok = np.flatnonzero((here >= 0) & (here < blocks))
                     n = split[o, here[ok]]
-                    if queries:
-                        times = np.repeat(np.arange(len(ok)), n)
-                        first = np.repeat(np.cumsum(n) - n, n)
-                        sub = np.arange(len(times)) - first
-                        ok = ok[times]
-                    else:
-                        sub = np.abs(low[ok]) % n
+                    if queries:  # all sub-blocks, its own part of each
+                        own, each, step = (low[ok] % parts_of), n, parts_of
+                    else:  # its own sub-block, all parts
+                        own, each, step = (low[ok] % n) * parts_of, np.full(len(ok), parts_of), 1
+                    times = np.repeat(np.arange(len(ok)), each)
+                    sub = own[times] + (np.arange(len(times)) - np.repeat(np.cumsum(each) - each, each)) * step
+                    ok = ok[times]
                     rows.append(ok)
                     os.append(np.full(len(ok), o, np.int32))
                     bs.append(here[ok].astype(np.int32))
@@ -137,26 +153,32 @@ def _expand(df: DataFrame, edges: np.ndarray, orderings: int, longest: float, di
     return df.mapInArrow(run, schema)
 
 
-def _valid(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with usable vectors of the commonest length (ties: the longer)."""
-    ok = rows.where("vec_id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
-    top = ok.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dim = top[0]["n"] if top else 0
-    return ok.where(F.size("vec") == dim), dim
+def _valid(rows: DataFrame) -> DataFrame:
+    """Rows with an id and a usable vector."""
+    return rows.where("vec_id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vec, x -> x <> 0)")
 
 
 def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding", target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`.
 
-    Null, zero, non-finite vectors, vectors of another length than the commonest, and null ids take no part. A query
-    never finds its own id; equal vectors under other ids are found. Ties go to the smaller id. With k or fewer
-    candidates all are returned. An empty table gives no rows. Other columns are not looked at.
+    Null, zero, non-finite vectors and null ids take no part. Vectors of each length are a space of their own, searched
+    one after another: vectors of two lengths have no inner product. A query never finds its own id; equal vectors under
+    other ids are found. Ties in the exact score go to the smaller id. With k or fewer candidates all are returned; a
+    query without any gives no rows, as does an empty table. Repeated rows give repeated results. Other columns are not
+    looked at.
     """
-    spark = table.sparkSession
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    rows, dim = _valid(table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vec")))
-    if not dim:
-        return spark.createDataFrame([], out_schema)
+    rows = _valid(table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vec")))
+    out = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = sorted(r["n"] for r in rows.groupBy(F.size("vec").alias("n")).count().collect())
+    for i, dim in enumerate(lengths):
+        found = _search(rows.where(F.size("vec") == dim) if len(lengths) > 1 else rows, dim, k, every, target)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _search(rows: DataFrame, dim: int, k: int, every: int, target: float) -> DataFrame:
+    """The search among vectors of one length."""
+    spark = rows.sparkSession
     rows = rows.select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(17), "vec").alias("h2"))
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     index = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).groupBy("h1", "h2").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -181,13 +203,15 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     # wide windows open a few larger blocks instead of many
     merge = max(1, min(radius, MERGE))
     edges, radius = np.ascontiguousarray(edges[:, merge - 1 :: merge]), -(-radius // merge)
-    usual = merge * max(BLOCK, n // blocks)
-    # blocks that hold several times the usual number are split by hash, and queries open all their parts
-    one = lambda df, q, r, s: _expand(df, edges, orderings, longest, dim, q, r, s)
-    sizes = one(index.select("h1", "vec"), False, 0, {}).groupBy("o", "block").count().where(F.col("count") > 4 * usual).collect()
-    subs = {(r["o"], r["block"]): -(-r["count"] // (2 * usual)) for r in sizes}
-    left = one(asked, True, radius, subs).select("o", "block", "sub", "h1", "h2", "vec").groupBy("o", "block", "sub")
-    right = one(index, False, 0, subs).select("o", "block", "sub", "vec", "ids", "low").groupBy("o", "block", "sub")
+    most = min(GROUP, 4 * merge * max(BLOCK, n // blocks))
+    # blocks that hold more are split by hash, and queries open all their parts
+    sizes = _expand(index.select("h1", "vec"), edges, orderings, longest, dim, False, 0, {}).groupBy("o", "block").count().where(F.col("count") > most).collect()
+    subs = {(r["o"], r["block"]): -(-2 * r["count"] // most) for r in sizes}
+    windows = min(edges.shape[1] + 1, 2 * radius + 1)
+    parts_of = -(-asked.count() * windows // ((edges.shape[1] + 1) * QUERIES))
+    one = lambda df, q, r: _expand(df, edges, orderings, longest, dim, q, r, subs, max(1, parts_of))
+    left = one(asked, True, radius).select("o", "block", "sub", "h1", "h2", "vec").groupBy("o", "block", "sub")
+    right = one(index, False, 0).select("o", "block", "sub", "vec", "ids", "low").groupBy("o", "block", "sub")
     names_out = ["h1", "h2", "ids", "low", "score"]
 
     def rerank(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -196,15 +220,17 @@ def search(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
             return empty
         x, low = _matrix(c.column("vec").combine_chunks(), dim), c.column("low").to_numpy()
         ask = _matrix(q.column("vec").combine_chunks(), dim)
-        whose, which = [], []
+        whose, which, score = [], [], []
+        longest_here = np.sqrt((x * x).sum(1).max())
+        slack = 4 * dim * np.finfo(float).eps * longest_here * np.sqrt((ask * ask).sum(1))
         for a in range(0, len(ask), 256):
             s = ask[a : a + 256] @ x.T
             for i in range(len(s)):
-                got = _best(s[i], low, k + 1)
-                whose.append(np.full(len(got), a + i))
-                which.append(got)
-        whose, which = np.concatenate(whose), np.concatenate(which)
-        score = (ask[whose] * x[which]).sum(1)
+                at, exact = _nearest(ask[a + i], x, s[i], low, k + 1, slack[a + i])
+                whose.append(np.full(len(at), a + i))
+                which.append(at)
+                score.append(exact)
+        whose, which, score = np.concatenate(whose), np.concatenate(which), np.concatenate(score)
         ids = c.column("ids").combine_chunks().take(pa.array(which))
         return pa.Table.from_arrays([q.column("h1").take(pa.array(whose)), q.column("h2").take(pa.array(whose)), ids, pa.array(low[which]), pa.array(score)], names_out)
 
