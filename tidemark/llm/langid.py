@@ -1,6 +1,6 @@
 """Operator 5: language of a text by interpolated Kneser-Ney character models.
 
-A text's words are its runs of letters, lowered; each is scored as a character sequence between spaces, with no
+A text's words are its runs of letters with their combining marks, lowered; each is scored as a character sequence between spaces, with no
 context beyond. For each order the discounted probabilities and back-off weights of all languages stand in arrays
 sorted by n-gram hash. The language with the lowest cross-entropy per character wins. Words recur, so each worker
 scores a distinct word once and then adds up rows.
@@ -11,11 +11,11 @@ expectation, drawn by text hash. Everything else covers all rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ ORDER = 4
 SAMPLE = 1200
 LANGUAGES = 1000
 MEMORY = 400_000
-LETTERS = re.compile(r"[^\W\d_]+")
+
+#: A letter, then letters and the marks that combine with them.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: A text is rejected if its cross-entropy has gone this part of the way from its language's usual one to that of the
 #: language's words with their letters shuffled, four spreads for its length left aside.
 SLACK = 0.6
@@ -240,7 +242,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def predict(docs: DataFrame, fold_of: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every row; learned from the rows outside the held-out fold."""
+    """doc_id, held_out, lang_pred, score, rejected of every row; learned from the rows outside the held-out fold.
+
+    Null ids are never held out. Texts without a letter are `und` with score 0, as all are where no row has a language.
+    Ties in likelihood go to the first language in alphabetical order. Repeated rows give repeated results, an empty
+    table none. Whole texts are read, in slices of many texts or one long one. Other columns are not looked at.
+    """
     out = fold("doc_id", fold_of) == held
     model = train(docs.where(~out), "text", "lang")
     return identify(docs.select("doc_id", out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
