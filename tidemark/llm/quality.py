@@ -2,14 +2,15 @@
 
 A document's score is w . x of its text features; w maximises the likelihood that of a good and a poor document the
 good one wins, sigmoid(w . (x_good - x_poor)). Pairs come from a bounded sample of labelled training rows (SAMPLE of
-each label in expectation, drawn by text hash). The threshold is the quantile of the sample's scores that separates
-the labels best; scores are scaled so that it lies at CUT.
+each label in expectation, drawn by id hash). The common words behind two features are counted over all training texts.
+The threshold is the quantile of the scores of all labelled training rows that separates the labels best; scores are
+scaled so that it lies at CUT.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ CUT = 0.7
 SAMPLE = 4000
 PAIRS = 60_000
 COMMON = 400
+#: Bins of the histogram of scores; labelled ids that may be broadcast, 12 bytes each.
+BINS, BROADCAST_ROWS = 1 << 16, 1_000_000
 #: Kinds of bytes: lower case, upper case, digits, blanks, line ends, sentence marks, other ASCII, beyond ASCII.
 KIND = np.full(256, 6, np.int64)
 KIND[128:] = 7
@@ -102,17 +105,33 @@ def fit(x: np.ndarray, label: np.ndarray, common: np.ndarray) -> Model:
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     m = Model(common, mean, scale, np.zeros(x.shape[1]), 0.0, 1.0)
     m.weights = _rank(((x - mean) / scale).clip(-8, 8), good, poor)
-    s = m.raw(x)
-    cuts = np.quantile(s, np.linspace(0, 1, 1001))
-    right = [np.mean(s[good] >= c) + np.mean(s[poor] < c) for c in cuts]
-    best = np.flatnonzero(np.array(right) >= max(right) - 1e-9)
-    m.threshold = float((cuts[best[0]] + cuts[best[-1]]) / 2)
-    m.steep = 4 / max(1e-6, float(np.median(s[good]) - m.threshold))
     return m
 
 
+def set_threshold(m: Model, raw: np.ndarray, good: np.ndarray, poor: np.ndarray) -> Model:
+    """The model with its threshold at the quantile of raw scores, of so many good and poor texts each, that separates them best.
+
+    With one label only the threshold stays where it is.
+    """
+    if not good.sum() or not poor.sum():
+        return m
+    order = np.argsort(raw)
+    raw, good, poor = raw[order], good[order], poor[order]
+    upto = np.cumsum(good + poor) / (good + poor).sum()
+    at = np.unique(np.searchsorted(upto, np.linspace(0, 1, 1001)).clip(0, len(raw) - 1))
+    above = 1 - (np.cumsum(good) - good)[at] / good.sum()
+    below = (np.cumsum(poor) - poor)[at] / poor.sum()
+    best = at[np.flatnonzero(above + below >= (above + below).max() - 1e-9)]
+    threshold = float((raw[best[0]] + raw[best[-1]]) / 2)
+    middle = float(raw[np.searchsorted(np.cumsum(good), good.sum() / 2)])
+    return replace(m, threshold=threshold, steep=4 / max(1e-6, middle - threshold))
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fit on labelled rows of docs: SAMPLE of each label in expectation, all of them where there are fewer."""
+    """Fit on labelled rows of docs: SAMPLE of each label in expectation, all of them where there are fewer.
+
+    Null labels, labels but 0 and 1 and null ids are left out; an id of both labels counts for both; null texts are empty.
+    """
     named = labels.where(F.col(label).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     sizes = {r["label"]: r["count"] for r in named.groupBy("label").count().collect() if r["label"] in (0, 1)}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
@@ -130,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
                 h, n = np.unique(word_hashes(*offsets_and_bytes(b.column(0)))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    common, _ = frequent(chosen.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), COMMON)
+    counts, counts_path = cut(docs.select(F.col(text).alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word_counts")
+    common, _ = frequent(counts, COMMON)
 
     def measure(batches):
         find = Lookup(common)
@@ -140,10 +160,27 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
     got = chosen.mapInArrow(measure, "label int, x array<double>").orderBy("label", "x").toArrow()  # a few numbers for each text of the sample
-    drop(docs.sparkSession, path, picked_path)
+    drop(docs.sparkSession, path, picked_path, counts_path)
     width = features(pa.array([""]), Lookup(common)).shape[1]
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if got.num_rows else np.zeros((0, width))
-    return fit(x, got.column("label").to_numpy(), common)
+    model = fit(x, got.column("label").to_numpy(), common)
+    # the threshold, from a histogram of the scores of all labelled rows: raw scores are bounded, so are its bins
+    share = docs.sparkSession.sparkContext.broadcast(model)
+    unit = max(1e-9, float(np.abs(model.weights).sum()) * 16 / BINS)
+
+    def place_scores(batches):
+        m, find = share.value, Lookup(share.value.common)
+        for whole in batches:
+            for b in chunks(whole, "text"):
+                bins = np.floor(m.raw(features(b.column(0), find)) / unit).astype(np.int64)
+                at, n = np.unique(bins * 2 + b.column(1).to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], ["at", "n"])
+
+    named = named.where(F.col("label").isin(0, 1))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(named) if bounded(named, BROADCAST_ROWS) else named, "doc_id").select("text", "label")
+    bins = rows.mapInArrow(place_scores, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = bins.column("at").to_numpy(), bins.column("n").to_numpy()
+    return set_threshold(model, (at // 2 + 0.5) * unit, np.where(at % 2 == 1, n, 0), np.where(at % 2 == 0, n, 0))
 
 
 def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -168,7 +205,12 @@ def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | No
 
 
 def predict(docs: DataFrame, labels: DataFrame, fold_of: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; labels count only for rows outside the held-out fold."""
+    """doc_id, held_out, score, predicted of every row; labels count only for rows outside the held-out fold.
+
+    Null and empty texts have zero features and their score. predicted is 1 from a score of CUT on, ties included. Null
+    ids are never held out. Repeated rows give repeated results, an empty table none; without labels of both kinds every
+    text scores the same. Other columns are not looked at.
+    """
     out = fold("doc_id", fold_of) == held
     model = train(docs.where(~out), labels.where(~out))
     return rate(docs.select("doc_id", out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
