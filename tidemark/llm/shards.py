@@ -2,7 +2,9 @@
 
 Groups are summed to items: a group larger than the CHUNKS-th part of all bytes is an item by itself (fewer than
 CHUNKS such groups can exist), the rest fall by hash into CHUNKS chunks. So at most 2 * CHUNKS items reach the driver
-at any input size, and one item of the remainder is a small part of a shard. Differencing keeps for each partial
+at any input size. A chunk of more than 1 / CHUNKS of all bytes is rare and each item is at most a few of those, so where
+no group outweighs a shard the spread of shards, which differencing leaves well under its largest shared item, stays under
+k / CHUNKS of a mean shard times those few: some 0.1 % for eight shards. Differencing keeps for each partial
 partition its sums by shard; the two with the largest spread are combined in opposite order until one is left.
 """
 
