@@ -29,6 +29,8 @@ MAGIC = b"TIDEPK01"
 BLOCK = 4096
 #: Ids after which a file is closed and the next begun.
 FILE_IDS = 16 << 20
+#: Stored bytes of a range of ids; most ranges, for plans whose size isn't known.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 21
 MANIFEST = "path string, part int, seq int, n_docs long, n_ids long"
 
 
@@ -173,12 +175,16 @@ def write(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, partitio
     File order is (part, seq), and rows within a file ascend by id; repeated ids are ordered by their text.
     Null ids come first and are stored as the smallest int64. A null text has the end id alone. An empty table
     gives an empty manifest. Ranges of ids are equal in rows and come from Spark's range partitioner, so the
-    only shuffle is the one that the order asks for; each task holds at most FILE_IDS ids and one batch.
+    only shuffle is the one that the order asks for; equal and null ids are parted by their text. There are as many
+    ranges as the table's bytes ask for, RANGE_BYTES each. Each task holds at most FILE_IDS ids and one batch.
     """
     spark = df.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of files as they are stored
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = partitions or max(least, min(-(-size // RANGE_BYTES), MOST_RANGES))
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = ["doc_id", F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token_files", _worker.cache_clear)
@@ -217,7 +223,8 @@ def write(df: DataFrame, tokenizer: str, out_dir: str, end_id: int = 0, partitio
 def read(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document, from the files.
 
-    Only the manifest, a row per file of FILE_IDS ids, is ordered in one place for the files' first ids.
+    Only the manifest, a row per file of FILE_IDS ids, is ordered in one place for the files' first ids. Ids that were
+    null are the smallest int64. A document without text has one id, the end. An empty manifest gives no rows.
     """
     order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
