@@ -21,13 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name that driver and executors all see.
+    """A new folder name that driver and executors all see; the folder goes when the application ends.
 
-    The cluster names the parent in spark.checkpoint.dir. Only where that is unset (tests on one
-    machine) a folder under the temporary directory stands in for it.
+    The cluster names the parent in spark.checkpoint.dir. Only where that is unset on one machine (tests) a folder under
+    the temporary directory stands in for it; elsewhere it is an error, as executors would write to disks of their own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
+    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
