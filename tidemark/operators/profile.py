@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import zigzag
 from tidemark.functions.timeparts import whole_div
+from tidemark.operators.prefix import before_each
 
 
 def with_previous(df: DataFrame, r: str, columns: list[str], chunk: int = 100_000) -> DataFrame:
@@ -71,6 +72,6 @@ def undo_deltas(df: DataFrame, r: str, seed: int, chunk: int = 100_000) -> DataF
     """r and value from differences and the first value: running sums within chunks, on the sums of the chunks before."""
     part = df.withColumn("__c", whole_div(F.col(r).cast("long"), chunk))
     sums = part.groupBy("__c").agg(F.sum("delta").alias("__s"))
-    before = sums.select("__c", (F.sum("__s").over(Window.orderBy("__c")) - F.col("__s")).alias("__b"))
+    before = before_each(sums, "__c", "__s", F.sum, "__b").select("__c", F.coalesce("__b", F.lit(0)).alias("__b"))
     run = F.sum("delta").over(Window.partitionBy("__c").orderBy(r).rowsBetween(Window.unboundedPreceding, 0))
     return part.withColumn("__run", run).join(before, "__c").select(r, (F.lit(seed) + F.col("__b") + F.col("__run")).cast("int").alias("value"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeparts import micros, partition_start_us, partition_us, partition_values, row_index, whole_div
+from tidemark.operators.prefix import before_each
 from tidemark.plans.registry import Registry, Resource
+from tidemark.plans.tables import written
 
 
 def with_partitions(df: DataFrame, resource: Resource, ts: str = "ts") -> DataFrame:
@@ -29,14 +31,17 @@ def in_range(df: DataFrame, resource: Resource, start_s: int, end_s: int) -> Dat
     """Rows of [start_s, end_s) by the store's row arithmetic, with predicates that prune partitions.
 
     Of a partition that begins at p, rows (start - p) div hop to (end - p) div hop - 1 are taken, both rounded down;
-    where the hop divides a second that is start <= ts < end.
+    where the hop divides a second that is start <= ts < end. Such rows have start - hop < ts < end, which reaches the
+    files' row groups, as their rows are in order of time.
     """
     start_s, end_s = int(start_s), int(end_s)
     us = micros(F.col("ts"))
     begin = partition_start_us(us, resource.granularity)
     low = F.greatest(F.lit(0), whole_div(F.lit(start_s * 1_000_000) - begin, resource.hop_us))
     high = whole_div(F.lit(end_s * 1_000_000) - begin, resource.hop_us)
-    return df.where(partition_predicate(resource, start_s, end_s)).where((F.col("row_idx") >= low) & (F.col("row_idx") < high))
+    moment = lambda us: F.timestamp_micros(F.lit(us))
+    near = (F.col("ts") > moment(start_s * 1_000_000 - resource.hop_us)) & (F.col("ts") < moment(end_s * 1_000_000))
+    return df.where(partition_predicate(resource, start_s, end_s)).where(near & (F.col("row_idx") >= low) & (F.col("row_idx") < high))
 
 
 def partition_predicate(resource: Resource, start_s: int, end_s: int):
@@ -57,10 +62,28 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.base}/{self.registry[name].name}"
 
+    def _folder(self, path: str):
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return own.getFileSystem(self.spark._jsc.hadoopConfiguration()), own
+
+    def _partitions(self, path: str) -> list[str]:
+        """Names of the partition folders in a folder, in order."""
+        fs, own = self._folder(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(own) if s.isDirectory() and "=" in s.getPath().getName()) if fs.exists(own) else []
+
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(path) and any(s.isDirectory() for s in fs.listStatus(path))
+        return bool(self._partitions(self.path(name)))
+
+    def newest(self, name: str) -> tuple[str, ...] | None:
+        """Values of the newest partition, from the folders' names alone: one folder is listed for each column."""
+        path, out = self.path(name), []
+        for _ in self.registry[name].partition_columns:
+            found = self._partitions(path)
+            if not found:
+                return None
+            path = f"{path}/{found[-1]}"
+            out.append(found[-1].split("=", 1)[1])
+        return tuple(out)
 
     def rows(self, name: str) -> DataFrame:
         """All rows; an empty table before the first append."""
@@ -69,9 +92,12 @@ class Store:
             return self.spark.createDataFrame([], r.schema)
         return self.spark.read.schema(r.schema).parquet(self.path(name))
 
-    def append(self, name: str, df: DataFrame, start_s: int | None = None, on_late: str = "error", dense: bool = False) -> None:
+    def append(self, name: str, df: DataFrame, start_s: int | None = None, on_late: str = "error", dense: bool = False, batch: int | None = None) -> None:
         """Append rows with their own `ts`, or samples numbered by `i` from start_s on.
 
+        df is evaluated once, into the shared folder. batch: number of a micro-batch; one appended again replaces
+        the files of its number and adds nothing, and its own partitions don't count as newer ones.
+
         on_late says what becomes of rows whose partition lies before the newest one stored: error or drop.
         dense packs each partition's rows from its start.
         """
@@ -86,19 +112,77 @@ class Store:
                 start_s = int(self.spark.sql("select unix_timestamp()").first()[0])
             df = df.withColumn("ts", F.timestamp_micros(F.lit(int(start_s) * 1_000_000) + F.col("i").cast("long") * r.hop_us))
         out = (dense_rows if dense else with_partitions)(df.select("ts", *(F.col(c).cast("short").alias(c) for c in r.columns)), r).select(r.schema.fieldNames())
-        key = F.struct(*r.partition_columns)
-        last = self.rows(name).agg(F.max(key)).first()[0]
+        out = written(out, "append")
+        prefix = None if batch is None else f"batch-{batch:012d}-"
+        if prefix:
+            self._remove(name, prefix)
+        key, last = F.struct(*r.partition_columns), self.newest(name)
         if last is not None:
             late = key < F.struct(*(F.lit(x) for x in last))
             if on_late == "drop":
                 out = out.where(~late)
             elif out.where(late).limit(1).count():
-                raise ValueError(f"rows lie in a partition before {tuple(last)}")
+                raise ValueError(f"rows lie in a partition before {last}")
         if not out.limit(1).count():
             if on_late == "drop":
                 return
             raise ValueError("no rows to append")
-        out.repartition(*r.partition_columns).sortWithinPartitions("ts").write.mode("append").partitionBy(*r.partition_columns).parquet(self.path(name))
+        # ranges of time: a busy partition is dealt over several tasks
+        ordered = out.repartitionByRange(*r.partition_columns, "ts").sortWithinPartitions(*r.partition_columns, "ts")
+        conf, kind = self.spark.conf, "spark.sql.parquet.outputTimestampType"
+        before = conf.get(kind)
+        conf.set(kind, "TIMESTAMP_MICROS")  # the default has no statistics for ranges of time
+        try:
+            if prefix is None:
+                ordered.write.mode("append").partitionBy(*r.partition_columns).parquet(self.path(name))
+            else:
+                self._publish(name, ordered, prefix)
+        finally:
+            conf.set(kind, before)
+
+    def _remove(self, name: str, prefix: str) -> None:
+        """Remove files of that prefix, and partition folders left without any."""
+
+        def walk(path: str, depth: int) -> None:
+            if depth:
+                for x in self._partitions(path):
+                    walk(f"{path}/{x}", depth - 1)
+                return
+            fs, own = self._folder(path)
+            files = [s.getPath() for s in fs.listStatus(own)]
+            mine = [f for f in files if f.getName().startswith(prefix)]
+            for f in mine:
+                fs.delete(f, False)
+            if mine and len(mine) == len(files):
+                fs.delete(own, True)
+
+        marker = f"{self.base}/_batches/{name}/{prefix}"
+        fs, own = self._folder(marker)
+        if fs.exists(own):  # only a batch that was begun before has files
+            walk(self.path(name), len(self.registry[name].partition_columns))
+
+    def _publish(self, name: str, rows: DataFrame, prefix: str) -> None:
+        """Write rows beside the table, then move the files in under names of that prefix."""
+        columns = self.registry[name].partition_columns
+        staged = f"{self.base}/_staged/{name}/{prefix}"
+        rows.write.mode("overwrite").partitionBy(*columns).parquet(staged)
+        fs, marker = self._folder(f"{self.base}/_batches/{name}/{prefix}")
+        fs.create(marker, True).close()
+
+        def walk(rest: str, depth: int) -> None:
+            if depth:
+                for x in self._partitions(staged + rest):
+                    walk(f"{rest}/{x}", depth - 1)
+                return
+            _, there = self._folder(self.path(name) + rest)
+            fs.mkdirs(there)
+            for s in fs.listStatus(self._folder(staged + rest)[1]):
+                final = self._folder(f"{self.path(name)}{rest}/{prefix}{s.getPath().getName()}")[1]
+                if not fs.rename(s.getPath(), final):
+                    raise OSError(f"{final} can't be written")
+
+        walk("", len(columns))
+        fs.delete(self._folder(staged)[1], True)
 
     def load_samples(self, name: str, samples: DataFrame, base_s: int) -> None:
         """Replace the table by rows (i, columns...), the i-th at base_s + i hops."""
@@ -107,8 +191,8 @@ class Store:
 
     def query(self, name: str, start_s: int, end_s: int, columns: list[str] | None = None) -> DataFrame:
         """Rows of [start_s, end_s) in time order."""
-        if end_s < start_s:
-            raise ValueError("end lies before start")
+        if end_s <= start_s:
+            raise ValueError("the end must lie behind the start")
         r = self.registry[name]
         return in_range(self.rows(name), r, start_s, end_s).select("ts", "row_idx", *(columns or r.columns)).orderBy("ts")
 
@@ -156,8 +240,7 @@ def late_rows(df: DataFrame, order: str, ts: str, granularity: str) -> DataFrame
     # order within chunks and the maximum of the chunks before, so that no task holds all rows
     chunk = whole_div(F.col(order).cast("long"), 10_000)
     marked = df.withColumn("__p", day).withColumn("__c", chunk)
-    before = Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    tops = marked.groupBy("__c").agg(F.max("__p").alias("m")).withColumn("__top", F.max("m").over(before)).drop("m")
+    tops = before_each(marked.groupBy("__c").agg(F.max("__p").alias("m")), "__c", "m", F.max, "__top").drop("m")
     inside = F.max("__p").over(Window.partitionBy("__c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     out = marked.join(tops, "__c").withColumn("__seen", F.greatest(inside, F.col("__top")))
     return out.where(F.col("__p") < F.col("__seen")).drop("__p", "__c", "__top", "__seen")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeparts import micros, whole_div
+from tidemark.operators.prefix import before_each
 from tidemark.plans.tables import written
 
+#: Bytes of a partition to sort, as they are stored or estimated; most partitions, for plans of unknown size.
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 18
+
 
 def count_windows(n: Column | int, window: int, hop: int) -> Column:
     """How many full windows n samples give."""
@@ -15,18 +19,23 @@ def count_windows(n: Column | int, window: int, hop: int) -> Column:
     return F.when(n < window, 0).otherwise(whole_div((n - window).cast("long"), hop) + 1).cast("long")
 
 
-def number_rows(df: DataFrame, order: list[str], out: str = "r", parts: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], out: str = "r", parts: int | None = None) -> DataFrame:
     """df with the place of each row in the whole order, from 0.
 
-    Rows are ranged over partitions, counted there, and numbered within; only a count per partition is summed in
-    one place. Rows that are equal in the order keep no particular order among themselves.
+    Rows are ranged over partitions, sorted there and written with their place in the partition: one shuffle, one sort.
+    Only a count per partition is summed in one place. There are as many partitions as the shuffle setting or the
+    table's bytes ask for. Rows that are equal in the order keep no particular order among themselves.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    ranged = written(ranged)
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return ranged.withColumn(out, inside).join(F.broadcast(before), "__part").withColumn(out, (F.col(out) + F.col("__before")).cast("long")).drop("__part", "__before")
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS))
+    # a row's id is its partition, shifted by 33 bits, and its place there
+    ranged = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = before_each(sizes, "__part", "__n", F.sum, "__before").select("__part", F.coalesce("__before", F.lit(0)).alias("__before"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before")
+    return ranged.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(out, place.cast("long")).drop("__part", "__before", "__id")
 
 
 def explode_windows(df: DataFrame, window: int, hop: int, r: str = "r", out: str = "w") -> DataFrame:

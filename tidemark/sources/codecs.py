@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import struct
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,15 +162,16 @@ def _files(path: str, suffix: str) -> list[str]:
     return sorted(f"{scheme}://{x.path}" for x in fs.get_file_info(FileSelector(p)) if x.path.endswith(suffix))
 
 
-def _bytes(path: str) -> bytes:
+def _bytes(path: str):
+    """A file's bytes; a local one is mapped, so that columns which nobody decodes aren't read."""
     from pyarrow.fs import FileSystem
 
     if "://" in path and not path.startswith("file:"):
         fs, p = FileSystem.from_uri(path)
         with fs.open_input_stream(p) as f:
             return f.read()
-    with open(_local(path), "rb") as f:
-        return f.read()
+    own = _local(path)
+    return np.memmap(own, np.uint8, "r").data if os.path.getsize(own) else b""
 
 
 class _File(InputPartition):
@@ -181,14 +184,17 @@ class ChunkReader(DataSourceReader):
 
     def __init__(self, options, schema: StructType):
         self.path, self.schema = options["path"], schema
+        self.names, self.wanted = options.get("columns"), options.get("select")
 
     def partitions(self):
         return [_File(p) for p in _files(self.path, ".des9")]
 
     def read(self, partition):
-        names = self.schema.fieldNames()
+        names, data = self.schema.fieldNames(), _bytes(partition.path)
+        columns = _names(self.names, read_header(data)[1])
+        want = [columns.index(c) for c in (self.wanted.split(",") if self.wanted else columns)]
         at = 0
-        for rows in decode_chunks(_bytes(partition.path)):
+        for rows in decode_chunks(data, want):
             cols = [pa.array(np.ascontiguousarray(rows[:, i])) for i in range(rows.shape[1])]
             yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(rows)), pa.array(np.arange(at, at + len(rows))), *cols], names)
             at += len(rows)
@@ -200,53 +206,83 @@ class _Wrote(WriterCommitMessage):
 
 
 class ChunkWriter(DataSourceArrowWriter):
-    """Each task writes a file under a name of its own, and the driver gives all their final names when all have ended."""
+    """Each task streams its chunks to a file of its own; the driver gives all their final names when all have ended.
+
+    A write's names begin with its time and hold a number of its own, so appended files stand behind the earlier ones
+    and never replace them. Overwriting removes the earlier files after the new ones have their names: a crash in
+    between leaves both, never neither. A store's files are written by pyarrow's file systems.
+    """
 
     def __init__(self, options, schema: StructType, overwrite: bool):
-        self.path = _local(options["path"])
+        self.uri = options["path"]
         self.codec, self.chunk, self.overwrite = options.get("codec", "compressed"), int(options.get("chunk", "128")), overwrite
-        if self.codec not in MAGIC:
-            raise ValueError(f"codec must be one of {sorted(MAGIC)}")
+        encode_file(np.zeros((0, len(schema.fields)), int), self.codec, self.chunk)  # refuses what can't be written
         self.n = len(schema.fields)
+        self.number = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+    def _fs(self):
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        return FileSystem.from_uri(self.uri.rstrip("/")) if "://" in self.uri and not self.uri.startswith("file:") else (LocalFileSystem(), _local(self.uri).rstrip("/"))
 
     def write(self, batches):
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        parts = [np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in b.columns], 1) for b in batches if b.num_rows]
-        if not parts:
+        (fs, folder), context = self._fs(), TaskContext.get()
+        name, out, held = f"{folder}/.{self.number}-{context.partitionId():06d}.{context.taskAttemptId()}.tmp", None, np.zeros((0, self.n), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(folder, recursive=True)
+                out = fs.open_output_stream(name)
+                out.write(encode_file(held, self.codec, self.chunk))
+            held = np.concatenate([held, np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in b.columns], 1)])
+            whole = len(held) // self.chunk * self.chunk
+            out.write(encode_file(held[:whole], self.codec, self.chunk)[HEADER.size :])
+            held = held[whole:]
+        if out is None:
             return _Wrote(None)
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{context.partitionId():06d}.{context.taskAttemptId()}.tmp"
-        with open(name, "wb") as f:
-            f.write(encode_file(np.concatenate(parts), self.codec, self.chunk))
-        return _Wrote(name)
+        out.write(encode_file(held, self.codec, self.chunk)[HEADER.size :])
+        out.close()
+        return _Wrote(f"{name}|part-{self.number}-{context.partitionId():06d}.des9")
 
     def commit(self, messages):
-        if self.overwrite and os.path.isdir(self.path):
-            for x in os.listdir(self.path):
-                if x.endswith(".des9"):
-                    os.remove(f"{self.path}/{x}")
+        from pyarrow.fs import FileSelector
+
+        fs, folder = self._fs()
+        before = [x.path for x in fs.get_file_info(FileSelector(folder, allow_not_found=True)) if x.path.endswith(".des9")] if self.overwrite else []
         for m in messages:
             if m and m.path:
-                os.replace(m.path, m.path.rsplit(".", 2)[0] + ".des9")
+                own, final = m.path.split("|")
+                fs.move(own, f"{folder}/{final}")
+        for x in before:
+            fs.delete_file(x)
 
     def abort(self, messages):
+        fs, _ = self._fs()
         for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and m.path:
+                fs.delete_file(m.path.split("|")[0])
+
+
+def _names(given: str | None, n: int) -> list[str]:
+    names = given.split(",") if given else [f"c{i}" for i in range(n)]
+    if len(names) != n:
+        raise ValueError(f"the file has {n} columns")
+    return names
 
 
 class ChunkSource(DataSource):
-    """Format `samples`: options path, columns (names, comma-joined), and for writing codec and chunk."""
+    """Format `samples`: options path, columns (all names, comma-joined), select (those to read), codec and chunk (for writing)."""
 
     @classmethod
     def name(cls):
         return "samples"
 
     def schema(self):
-        names = self.options.get("columns")
-        names = names.split(",") if names else [f"c{i}" for i in range(read_header(_bytes(_files(self.options["path"], ".des9")[0]))[1])]
+        names = self.options.get("select") or self.options.get("columns")
+        names = names.split(",") if names else _names(None, read_header(_bytes(_files(self.options["path"], ".des9")[0]))[1])
         return StructType([StructField("file", StringType()), StructField("pos", LongType()), *(StructField(c, ShortType()) for c in names)])
 
     def reader(self, schema):
