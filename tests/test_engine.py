@@ -191,6 +191,76 @@ def test_sample_files_as_a_source(spark, tmp_path):
     assert len(npy.header(3, 2)) % 64 == 0
 
 
+def test_sample_files_append_and_overwrite(spark, tmp_path):
+    npy.register(spark)
+    rows = spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "a short, b short, c short").coalesce(1)
+    path = f"{tmp_path}/s"
+    for mode, n in (("overwrite", 2), ("append", 4), ("append", 6), ("overwrite", 2)):
+        rows.write.format("samples").mode(mode).save(path)
+        assert spark.read.format("samples").load(path).count() == n
+    got = spark.read.format("samples").option("columns", "a,b,c").option("select", "c,a").load(path)
+    assert got.columns == ["file", "pos", "c", "a"] and [(r["c"], r["a"]) for r in got.orderBy("pos").collect()] == [(3, 1), (6, 4)]
+    big = spark.range(1000).select(*(F.col("id").cast("short").alias(c) for c in "abc")).coalesce(1)
+    big.write.format("samples").option("chunk", 128).mode("overwrite").save(path)
+    assert [r["b"] for r in spark.read.format("samples").option("columns", "a,b,c").load(path).orderBy("pos").collect()] == list(range(1000))
+
+
+def test_a_batch_appended_again_adds_nothing(spark, tmp_path):
+    s = make(spark, tmp_path)
+    s.append("sensor", ramp(spark, 4000), HOUR, batch=0)
+    s.append("sensor", ramp(spark, 100), HOUR + 4000, batch=1)
+    s.append("sensor", ramp(spark, 100), HOUR + 4000, batch=1)
+    assert s.rows("sensor").count() == 4100 and s.newest("sensor") == ("2024-01-05", "01")
+    assert s.query("sensor", HOUR + 3990, HOUR + 4010).count() == 20
+    plan = s.query("sensor", HOUR + 10, HOUR + 20)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts" in plan and "LessThan(ts" in plan
+    with pytest.raises(ValueError):
+        s.query("sensor", HOUR, HOUR)
+
+
+def test_running_totals_in_two_levels(spark):
+    from tidemark.operators.prefix import before_each
+
+    rows = spark.range(25).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
+    for total, start in ((F.sum, lambda x: sum(x) if x else None), (F.max, lambda x: max(x, default=None))):
+        got = {r["k"]: r["o"] for r in before_each(rows, "k", "v", total, "o", run=4).collect()}
+        assert got == {k: start([i % 5 for i in range(k)]) for k in range(25)}
+
+
+def test_row_numbers_over_several_parts(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    got = windows.number_rows(rows, ["x"], parts=7)
+    assert got.where("r <> x").count() == 0 and got.count() == 1000
+
+
+def test_live_chain(spark, tmp_path):
+    from tidemark.streaming import features as stream
+
+    r = Registry()
+    r.add(Resource("raw", ("acc_x", "acc_y", "acc_z"), 40_000, "minute"))
+    r.add(Resource("features", stream.FEATURES, 1_000_000, "hour"))
+    r.add(Resource("predictions", ("a",), 1_000_000, "hour"))
+    s = store.Store(spark, f"{tmp_path}/db", r)
+    samples = spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 90).cast("short").alias("x"), (F.col("id") % 7).cast("short").alias("y"), F.lit(1000).cast("short").alias("z"))
+    for _ in range(2):  # again from the same checkpoint: nothing is added
+        source = stream.replay(spark, samples, f"{tmp_path}/replay", HOUR, 40_000, 300) if not os.path.exists(f"{tmp_path}/replay") else spark.readStream.schema("ts timestamp, i long, x short, y short, z short").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/replay/files")
+        for q in stream.live(source, s, "raw", "features", f"{tmp_path}/check", 100, 25, lambda f: f.select("ts", F.floor(F.col("mean_z") / 500).cast("short").alias("a")), "predictions"):
+            q.awaitTermination()
+        assert s.rows("raw").count() == 1000 and s.rows("features").count() == 37
+        assert [x["a"] for x in s.rows("predictions").collect()] == [2] * 37
+    want = [tuple(x)[1:] for x in windows.window_features(samples.withColumnRenamed("i", "r")).orderBy("w").collect()]
+    assert [tuple(x) for x in s.rows("features").orderBy("ts").select(*stream.FEATURES).collect()] == want
+
+
+def test_stream_windows_begin_anew(spark, tmp_path):
+    from tidemark.streaming import features as stream
+
+    spark.range(10).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("i"), F.col("id").alias("x"), (F.col("id") == 5).alias("new")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key long, i long, x long, new boolean").parquet(f"{tmp_path}/in")
+    got = stream.to_table(stream.count_windows(source, 4, 1, "new"), "append", f"{tmp_path}/c", f"{tmp_path}/o")
+    assert sorted((r["w"], r["total"]) for r in got.collect()) == [(0, 6), (0, 26), (1, 10), (1, 30)]
+
+
 @pytest.mark.parametrize("p95,bits,words,ratio", [(10, 5, 5, 2.5), (0, 1, 28, 14.0), (20000, 16, 1, 0.5)])
 def test_compression_by_hand(spark, p95, bits, words, ratio):
     prof = spark.createDataFrame([("s", 100, float(p95))], "series string, n long, p95_abs double")

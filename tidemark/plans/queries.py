@@ -9,7 +9,7 @@ from tidemark.functions import scalars, timeparts
 from tidemark.operators import asof, ml, pca, profile, resample, sampling, segments, store, windows
 from tidemark.plans.registry import Registry, Resource
 from tidemark.plans.tables import shared, table, written
-from tidemark.sources import files
+from tidemark.sources import files, npy
 from tidemark.streaming import features as stream
 
 #: Fixed test ranges, in epoch seconds.
@@ -372,16 +372,55 @@ def stream_count_windows(spark, d):
     return out.select("key", "w", "total")
 
 
-def _axes(df: DataFrame) -> DataFrame:
-    return df.select("ts", F.col("v").cast("int").alias("x"), F.pmod("event_id", F.lit(100)).cast("int").alias("y"), F.lit(50).alias("z"))
+STREAM_FEATURES_SQL = f"""WITH {E}, k AS (SELECT user_id % 8 AS key, CAST(v AS BIGINT) AS x, event_id % 100 AS y, 50 AS z, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS r FROM ev),
+e AS (SELECT k.*, w FROM k, LATERAL (SELECT unnest(range(CAST(greatest(0, ceil((r - 19) / 5.0)) AS BIGINT), r // 5 + 1)) AS w)),
+s AS (SELECT key, w, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(z) AS BIGINT) AS sz FROM e GROUP BY key, w HAVING count(*) = 20),
+m AS (SELECT key, w, CAST(sum(abs(n * x - sx) + abs(n * y - sy) + abs(n * z - sz)) AS BIGINT) AS moved FROM e JOIN s USING (key, w) GROUP BY key, w),
+u AS (SELECT *, sx / CAST(n AS DOUBLE) AS mx, sy / CAST(n AS DOUBLE) AS my, sz / CAST(n AS DOUBLE) AS mz FROM s JOIN m USING (key, w)),
+g AS (SELECT *, CASE WHEN sqrt(mx * mx + my * my + mz * mz) = 0 THEN 1.0 ELSE sqrt(mx * mx + my * my + mz * mz) END AS size FROM u)
+SELECT key, w, CAST(trunc(mx / size * 16384) AS INT) AS orient_x, CAST(trunc(my / size * 16384) AS INT) AS orient_y, CAST(trunc(mz / size * 16384) AS INT) AS orient_z,
+  CAST(moved // (n * n * 32) AS INT) AS sma, CAST(trunc(mx) AS INT) AS mean_x, CAST(trunc(my) AS INT) AS mean_y, CAST(trunc(mz) AS INT) AS mean_z FROM g"""
 
 
-@query()
+@query(STREAM_FEATURES_SQL)
+def stream_count_features(spark, d):
+    """The seven features of count windows over the event stream, eight devices apart."""
+    events_ = _event_stream(spark, d)
+    source = _axes(events_, "user_id", "event_id").select((F.col("user_id") % 8).alias("key"), "ts", F.col("event_id").alias("i"), "x", "y", "z")
+    out = stream.to_table(stream.count_features(source, 20, 5), "append", shared(spark, "stream_state"), shared(spark, "stream_out"))
+    return out.drop("ts", "batch")
+
+
+@query(f"WITH {E} SELECT 2 * count(*) AS n, CAST(2 * sum(v) AS BIGINT) AS total, CAST(2 * sum(event_id % 100) AS BIGINT) AS others FROM ev")
+def samples_append_roundtrip(spark, d):
+    """Chunk files written, overwritten and appended to, then two columns read back."""
+    npy.register(spark)
+    path = shared(spark, "samples")
+    rows = events(spark, d).select("v", F.lit(1).cast("short").alias("k"), (F.col("event_id") % 100).cast("short").alias("w"))
+    for mode in ("append", "overwrite", "append"):
+        rows.write.format("samples").mode(mode).save(path)
+    back = spark.read.format("samples").option("columns", "v,k,w").option("select", "w,v").load(path)
+    return back.agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum("w").alias("others"))
+
+
+def _axes(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "ts", F.col("v").cast("int").alias("x"), F.pmod("event_id", F.lit(100)).cast("int").alias("y"), F.lit(50).alias("z"))
+
+
+@query(f"""WITH {E}, e AS (SELECT CAST(v AS BIGINT) AS x, event_id % 100 AS y, 50 AS z, unnest(range((us - 14400000000) // 3600000000 + 1, us // 3600000000 + 1)) AS w FROM ev),
+s AS (SELECT w, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(z) AS BIGINT) AS sz FROM e GROUP BY w),
+m AS (SELECT w, CAST(sum(abs(n * x - sx) + abs(n * y - sy) + abs(n * z - sz)) AS BIGINT) AS moved FROM e JOIN s USING (w) GROUP BY w),
+u AS (SELECT *, sx / CAST(n AS DOUBLE) AS mx, sy / CAST(n AS DOUBLE) AS my, sz / CAST(n AS DOUBLE) AS mz FROM s JOIN m USING (w)),
+g AS (SELECT *, CASE WHEN sqrt(mx * mx + my * my + mz * mz) = 0 THEN 1.0 ELSE sqrt(mx * mx + my * my + mz * mz) END AS size FROM u),
+t AS (SELECT (max(us) // 1000) * 1000 - 86400000000 AS closed FROM ev)
+SELECT w * 3600000000 AS start_us, w * 3600000000 + 14400000000 AS end_us, n, CAST(trunc(mx / size * 16384) AS INT) AS orient_x, CAST(trunc(my / size * 16384) AS INT) AS orient_y,
+  CAST(trunc(mz / size * 16384) AS INT) AS orient_z, CAST(moved // (n * n * 32) AS INT) AS sma, CAST(trunc(mx) AS INT) AS mean_x, CAST(trunc(my) AS INT) AS mean_y, CAST(trunc(mz) AS INT) AS mean_z
+FROM g, t WHERE w * 3600000000 + 14400000000 <= closed""")
 def stream_features(spark, d):
     """Feature windows of the event stream; windows still open at its end are not given."""
     out = stream.time_features(_axes(_event_stream(spark, d)), "4 hours", "1 hour", delay="1 day")
     got = stream.to_table(out, "append", shared(spark, "stream_state"), shared(spark, "stream_out"))
-    return got.select(*out.columns)
+    return got.select(F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), *(c for c in out.columns if c not in ("window_start", "window_end")))
 
 
 @query()
