@@ -662,3 +662,21 @@ def test_pipeline_against_its_operators(spark, tmp_path):
         d = stage(spark, d, str(tmp_path))
         assert d.columns == docs.columns
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_copies", "decontamination", "bpe"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    english = "the of and to in that with was for reading thing other".split()
+    texts = [" ".join(rng.choice(english) for _ in range(50)) for _ in range(60)]
+    docs = docs_of(spark, [*texts, texts[0], None, ""], [*range(60), 0, None, None]).withColumn("ids", F.lit(1)).withColumn("lang", F.lit("en"))
+    spark.createDataFrame([(i, 1 - i % 3 // 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        n = got.count()
+        assert n == {"language_id": 61, "near_copies": 61, "decontamination": 63, "bpe": 63}.get(name, n)
+        assert name == "bpe" or got.columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert got.columns == [c for c in docs.columns if c not in ("text", "ids")] + ["ids", "n_tokens", "round_trip"] and got.where("not round_trip").count() == 0

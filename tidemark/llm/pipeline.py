@@ -45,7 +45,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more: the smallest doc_id.
 
-    Ties of id go by text hash, and rows of one id and text are one. Null and empty texts are linked with nothing and
+    Ties of id go by text hash, and rows of one id and text (null counts as empty) are one. Null and empty texts are linked with nothing and
     stay; a null id is smaller than any other. Further columns of any name stay as they are; an empty table stays empty.
     """
     return jaccard.one_of_each(docs, k=5, num=80, den=100)
@@ -67,7 +67,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     way. Repeated rows stay; an empty table stays empty.
     """
     ids = bpe.encode(docs, TOKENIZER, round_trip="round_trip")
-    others = [f"`{c}`" for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip", "n_chars")]
+    others = [f"`{c}`" for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
     return ids.select(*others, "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
