@@ -12,7 +12,8 @@ from tidemark.functions import scalars, timeparts
 from tidemark.operators import ml, pca, profile, resample, sampling, segments, store, windows
 from tidemark.plans import queries as engine
 from tidemark.plans.registry import Registry, Resource, standard
-from tidemark.sources import codecs, files, npy
+from tidemark.sources import codecs, files, npy, remote
+from tidemark.streaming import sensors
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -121,6 +122,82 @@ def test_floor_at_both_ends(spark):
     assert [x["row_idx"] for x in got.collect()] == [1]
 
 
+def test_catalog_and_counters_of_ranges(spark, tmp_path):
+    s = make(spark, tmp_path)
+    assert not s.info("sensor").first()["has_data"] and s.partitions("sensor") == []
+    rows, counts = s.counted("sensor", HOUR, HOUR + 10)
+    assert rows.count() == 0 and counts()["rows_read"] == 0
+    s.append("sensor", ramp(spark, 3 * 3600), HOUR)
+    got = s.info("sensor").first()
+    assert (got["n_partitions"], got["start"], got["end"]) == (3, HOUR, HOUR + 3 * 3600)
+    assert got["last_row"].timestamp() - got["first_row"].timestamp() == 3 * 3600 - 1
+    rows, counts = s.counted("sensor", HOUR + 3500, HOUR + 3600 + 50, ["b"])
+    assert rows.columns == ["ts", "row_idx", "b"] and len(rows.collect()) == 150
+    got = counts()
+    assert (got["partitions"], got["rows_read"], got["rows_skipped"], got["bytes"]) == (2, 150, 7050, 300) and got["total_ms"] >= got["plan_ms"] >= 0
+    s.drop("sensor")
+    assert not s.info("sensor").first()["has_data"]
+
+
+def test_remote_source(spark):
+    import http.server
+    import threading
+    import urllib.error
+    import urllib.parse
+
+    class Device(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urllib.parse.urlsplit(self.path)
+            asked = dict(urllib.parse.parse_qsl(at.query))
+            if asked.get("resource") != "sensor":
+                return self.send_error(404)
+            if at.path == "/info":
+                body = b'{"has_data": true}'
+            else:
+                t = np.arange(int(asked["start"]), min(int(asked["end"]), 250))  # nothing from second 250 on
+                body = npy.to_bytes(np.stack([t, -t], 1))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Device)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        npy.register(spark)
+        source = spark.read.format("remote").option("url", url).option("resource", "sensor").option("columns", "a,b").option("seconds", 100)
+        got = source.option("start", 30).option("end", 400).load().collect()
+        assert sorted((r["start_s"] + r["i"], r["a"], r["b"]) for r in got) == [(t, t, -t) for t in range(30, 250)]
+        assert remote.info(url, "sensor") == {"has_data": True}
+        with pytest.raises(urllib.error.HTTPError):
+            remote.info(url, "nothing")
+        with pytest.raises(ValueError):
+            remote.get("file:///etc", "hostname")
+    finally:
+        server.shutdown()
+
+
+def test_device_streams(spark, tmp_path):
+    def rows(source, name):
+        q = source.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(processingTime="0 seconds").start()
+        try:
+            while not q.lastProgress or q.lastProgress["batchId"] < 1:
+                assert q.isActive
+                q.awaitTermination(1)
+        finally:
+            q.stop()
+        return spark.table(name)
+
+    got = rows(sensors.accelerometer(spark, HOUR, rows_per_batch=60), "samples_").where("i < 60").orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(60)) and (got[50].ts - got[0].ts).total_seconds() == 2
+    assert (got[0].x, got[0].z) == (0, 1000) and got[50].x == got[0].x and max(abs(r.x) for r in got) <= 400
+    got = rows(sensors.battery(spark, rows_per_batch=5), "battery_").limit(5).collect()
+    assert [r["mv"] for r in sorted(got, key=lambda r: -r["mv"])][:5] == [4200, 4199, 4198, 4197, 4196] and all(0 <= r["percent"] <= 100 for r in got)
+
+
 def test_gaps_close_in_dense_mode(spark, tmp_path):
     s = make(spark, tmp_path)
     s.append("sensor", ramp(spark, 20).where("i < 5 or i > 14"), HOUR, dense=True)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import time
+from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeparts import micros, partition_start_us, partition_us, partition_values, row_index, whole_div
@@ -85,6 +90,13 @@ class Store:
             out.append(found[-1].split("=", 1)[1])
         return tuple(out)
 
+    def partitions(self, name: str) -> list[tuple[str, ...]]:
+        """Values of every partition, in order, from the folders' names alone."""
+        found = [((), self.path(name))]
+        for _ in self.registry[name].partition_columns:
+            found = [((*values, x.split("=", 1)[1]), f"{path}/{x}") for values, path in found for x in self._partitions(path)]
+        return [values for values, _ in found]
+
     def rows(self, name: str) -> DataFrame:
         """All rows; an empty table before the first append."""
         r = self.registry[name]
@@ -196,6 +208,32 @@ class Store:
         r = self.registry[name]
         return in_range(self.rows(name), r, start_s, end_s).select("ts", "row_idx", *(columns or r.columns)).orderBy("ts")
 
+    def counted(self, name: str, start_s: int, end_s: int, columns: list[str] | None = None) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+        """Rows of [start_s, end_s), and what an action on all of them counted, for which the function waits.
+
+        rows_read are the rows given out, rows_skipped the other rows of the partitions that the range meets, so those
+        partitions are read whole here. partitions come from folder names; bytes are the int16 columns'. plan_ms and
+        total_ms are the times to plan, and from there to the call.
+        """
+        began = time.monotonic()
+        if end_s <= start_s:
+            raise ValueError("the end must lie behind the start")
+        r, columns = self.registry[name], list(columns or self.registry[name].columns)
+        text = lambda s: F.concat_ws("/", *partition_values(F.lit(int(s) * 1_000_000), r.granularity).values())
+        low, high = self.spark.range(1).select(text(start_s), text(end_s - 1)).first()
+        met = sum(low <= "/".join(values) <= high for values in self.partitions(name))
+        seen, given = Observation(), Observation()
+        scanned = self.rows(name).where(partition_predicate(r, start_s, end_s)).observe(seen, F.count(F.lit(1)).alias("n"))
+        out = in_range(scanned, r, start_s, end_s).select("ts", "row_idx", *columns).observe(given, F.count(F.lit(1)).alias("n"))
+        planned = time.monotonic()
+
+        def counts() -> dict[str, int]:
+            read = given.get["n"]
+            total = round((time.monotonic() - began) * 1000)
+            return {"partitions": met, "rows_read": read, "rows_skipped": seen.get["n"] - read, "bytes": read * 2 * len(columns), "plan_ms": round((planned - began) * 1000), "total_ms": total}
+
+        return out, counts
+
     def last(self, name: str, seconds: int = 7200) -> DataFrame:
         """The newest rows: from `seconds` before the end of the last partition."""
         info = self.info(name).first()
@@ -204,13 +242,21 @@ class Store:
         return self.query(name, max(info["start"], info["end"] - seconds), info["end"])
 
     def info(self, name: str) -> DataFrame:
-        """One row: has_data, partitions, their bounds in epoch seconds, hop and columns, and the first and last row."""
-        r = self.registry[name]
-        return info(self.rows(name), r)
+        """One row: has_data, partitions, their bounds in epoch seconds, hop and columns, and the first and last row.
+
+        Partitions are counted by folder; rows are read of the first and the last alone.
+        """
+        r, found = self.registry[name], self.partitions(name)
+        if not found:
+            return info(self.rows(name), r)
+        ends = reduce(or_, (reduce(and_, (F.col(c) == x for c, x in zip(r.partition_columns, v, strict=True))) for v in (found[0], found[-1])))
+        return info(self.rows(name).where(ends), r).withColumn("n_partitions", F.lit(len(found)).cast("long"))
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        """Remove the table and what is kept of its numbered batches."""
+        for path in (self.path(name), f"{self.base}/_staged/{name}", f"{self.base}/_batches/{name}"):
+            fs, own = self._folder(path)
+            fs.delete(own, True)
 
 
 def info(rows: DataFrame, resource: Resource) -> DataFrame:

@@ -346,6 +346,21 @@ def store_append_query(spark, d):
     return s.query("events", START, END).groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
+@query(f"""WITH {E}, p AS (SELECT us, us >= {START + 1800}000000 AND us < {END - 1800}000000 AS taken FROM ev WHERE us // 86400000000 BETWEEN {START // 86400} AND {(END - 1801) // 86400})
+SELECT count(DISTINCT us // 86400000000) AS partitions, count(*) FILTER (WHERE taken) AS rows_read, count(*) FILTER (WHERE NOT taken) AS rows_skipped, 2 * count(*) FILTER (WHERE taken) AS bytes FROM p""")
+def store_query_counters(spark, d):
+    """What a range query on the store counted while it ran, its times left out."""
+    registry = Registry()
+    registry.add(Resource("events", ("v",), 1_000_000, "date"))
+    s = store.Store(spark, shared(spark, "store"), registry)
+    s.append("events", events(spark, d))
+    rows, counts = s.counted("events", START + 1800, END - 1800)
+    rows.write.format("noop").mode("overwrite").save()
+    got = counts()
+    names = ["partitions", "rows_read", "rows_skipped", "bytes"]
+    return spark.createDataFrame([tuple(got[c] for c in names)], ", ".join(f"{c} long" for c in names))
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a stream of files in a folder of its own, written in the order of time: files stream by age."""
     path = shared(spark, "events_stream")

@@ -95,6 +95,7 @@ class NpySource(DataSource):
 
 def register(spark) -> None:
     from tidemark.sources.codecs import ChunkSource
+    from tidemark.sources.remote import RemoteSource
 
-    spark.dataSource.register(NpySource)
-    spark.dataSource.register(ChunkSource)
+    for source in (NpySource, ChunkSource, RemoteSource):
+        spark.dataSource.register(source)
