@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(named) if bounded(named, BROADCAST_ROWS) else named, "doc_id").select("text", "label")
     bins = rows.mapInArrow(place_scores, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = bins.column("at").to_numpy(), bins.column("n").to_numpy()
-    return set_threshold(model, (at // 2 + 0.5) * unit, np.where(at % 2 == 1, n, 0), np.where(at % 2 == 0, n, 0))
+    # a bin's lower edge, a millionth of it lower against rounding: a text of the bin that is cut at is above the cut
+    return set_threshold(model, (at // 2 - 1e-6) * unit, np.where(at % 2 == 1, n, 0), np.where(at % 2 == 0, n, 0))
 
 
 def rate(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
