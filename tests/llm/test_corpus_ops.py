@@ -633,6 +633,21 @@ def test_html_templates_with_a_share_of_the_votes_are_kept(spark):
     assert len(got) == 1 and len(got[0]["paths"]) >= 20
 
 
+@pytest.mark.parametrize("share", [1, 4, 1 << 30])
+def test_rows_meet_hot_and_other_keys(spark, monkeypatch, share):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT", share)
+    keys = [None] * 20 + [1] * 50 + [2] * 3 + [3, 4]
+    rows = spark.createDataFrame(list(enumerate(keys)), "rid long, k long")
+    per = spark.createDataFrame([(1, 50, "a"), (2, 3, None), (3, 1, "c")], "k long, c long, v string")
+    got = common.meet(rows, per, "k", "rid")
+    assert got.columns == ["rid", "k", "v"]
+    want = {1: "a", 3: "c"}
+    assert sorted(tuple(r) for r in got.collect()) == [(i, k, want.get(k)) for i, k in enumerate(keys)]
+    assert common.meet(rows, per.limit(0), "k", "rid").where("v is null").count() == len(keys)
+
+
 def test_connected_components(spark):
     from tidemark.llm.components import connected
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; temporaries are about 60 times this.
 CHUNK_BYTES = 2 << 20
+#: A key with more than one part in HOT of all rows is hot; there are fewer than HOT of them.
+HOT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,3 +130,21 @@ def fold(col, mod: int):
 def bounded(df: DataFrame, rows: int) -> bool:
     """True if df has at most `rows` rows; reads no more than one row beyond that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def meet(rows: DataFrame, per: DataFrame, key: str, spread: str) -> DataFrame:
+    """rows with the columns of their key in per, null for keys that are null or not there.
+
+    per has one row for each key, whose `c` is the number of rows with it, and is read twice: it should be a written table. The
+    hot keys, fewer than HOT at any size, reach their rows by broadcast; the others by a shuffle, in which hot and null
+    keys' rows are dealt by `spread`, a column that tells rows apart.
+    """
+    values = [x for x in per.columns if x not in (key, "c")]
+    hot = F.col("c") * HOT > (per.agg(F.sum("c")).first()[0] or 0)
+    few = F.broadcast(per.where(hot).select(F.col(key).alias("__k"), F.struct(F.lit(True).alias("there"), *values).alias("__few")))
+    rest = per.where(~hot).select(F.col(key).alias("__r"), F.xxhash64(key).alias("__s"), F.struct(F.lit(True).alias("there"), *values).alias("__rest"))
+    met = rows.join(few, rows[key] == F.col("__k"), "left")
+    own = F.col("__few").isNull() & F.col(key).isNotNull()
+    met = met.withColumn("__key", F.when(own, F.col(key))).withColumn("__at", F.when(own, F.xxhash64(key)).otherwise(F.xxhash64(spread)))
+    met = met.join(rest, (F.col("__key") == F.col("__r")) & (F.col("__at") == F.col("__s")), "left").withColumn("__got", F.coalesce("__few", "__rest"))
+    return met.select(*rows.columns, *(F.col(f"__got.{x}").alias(x) for x in values))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded, chunks, claim, cut, drop, offsets_and_bytes, text_keys
+from tidemark.llm.common import bounded, chunks, claim, cut, drop, meet, offsets_and_bytes, text_keys
 from tidemark.llm.components import connected
 from tidemark.llm.words import Lookup, frequent, sequence_hash, shingles, word_hashes
 
@@ -305,9 +305,10 @@ def solve_buckets(members: DataFrame, rows: DataFrame, sig: DataFrame, k: int, n
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, k1, k2, n and comp (the class that names the component; null for empty sets) of every row.
+    """rid, doc_id, k1, k2, n and comp (the class that names the component; null for empty sets) of every row.
 
-    Within, a class goes by the rid of its first document: its row number.
+    Within, a class goes by the rid of its first document: its row number. Copies of one set may be a large part of all
+    rows, so rows find their class by `meet`.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *text_keys(text))
@@ -389,8 +390,10 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         join_components(met.where(F.col("o") >= need).select(F.col("a").alias("u"), F.col("b").alias("v")), lambda df: df)
         drop(spark, pairs_path, open_path)
     drop(spark, lists_path, again_path)
-    comps = firsts.groupBy("uid").agg(F.min("rid").alias("first")).join(nodes.select(F.col("uid").alias("first"), "comp"), "first", "left").select("uid", F.coalesce("comp", "first").alias("comp"))
-    return sig.join(comps, "uid", "left").select("doc_id", "k1", "k2", "n", "comp")
+    comps = sig.where("uid is not null").groupBy("uid").agg(F.min("rid").alias("first"), F.count("*").alias("c"))
+    comps = comps.join(nodes.select(F.col("uid").alias("first"), "comp"), "first", "left").select("uid", F.coalesce("comp", "first").alias("comp"), "c")
+    comps, _ = cut(comps, "classes_of_sets")
+    return meet(sig.drop("prefix"), comps, "uid", "rid").select("rid", "doc_id", "k1", "k2", "n", "comp")
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -401,9 +404,9 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_co
     component; null ids take part but never name one, unless all are null. Repeated rows give repeated results.
     Other columns of docs are not looked at. An empty table gives no rows.
     """
-    rows = _classes(docs, k, num, den, id_col, text)
-    least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "comp", "left")
+    rows, _ = cut(_classes(docs, k, num, den, id_col, text).select("rid", "doc_id", "n", "comp"), "classes")
+    least, _ = cut(rows.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")), "least")
+    out = meet(rows, least, "comp", "rid")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -413,12 +416,12 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
     All columns stay as they are. Documents with empty sets all stay, unless the whole row's id and text repeat; of
     such repeats one stays. Rows to leave out are broadcast only while they are few, and else met by a shuffle.
     """
-    rows, path = cut(_classes(docs, k, num, den, id_col, text).select("doc_id", "k1", "k2", "comp"), "classes")
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
-    out = rows.join(first, "comp").where(~F.struct("doc_id", "k1", "k2").eqNullSafe(F.col("first"))).select("doc_id", "k1", "k2").distinct()
+    rows, path = cut(_classes(docs, k, num, den, id_col, text).select("rid", "doc_id", "k1", "k2", "comp"), "classes")
+    first, first_path = cut(rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"), F.count("*").alias("c")), "first")
+    out = meet(rows, first, "comp", "rid").where("first is not null").where(~F.struct("doc_id", "k1", "k2").eqNullSafe(F.col("first"))).select("doc_id", "k1", "k2").distinct()
     out, _ = cut(out, "left_out")
     again = rows.groupBy("doc_id", "k1", "k2").count().where("count > 1").limit(1).count() > 0
-    drop(docs.sparkSession, path)
+    drop(docs.sparkSession, path, first_path)
     keys = text_keys(text)
     marked = docs.select(F.struct(F.lit(True).alias("given"), *(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), *keys)
     if again:
