@@ -41,6 +41,39 @@ def test_query(spark, con, name):
     assert key(got) == key(want)
 
 
+#: Queries over every event's metric, which a value of 655.36 or more takes out of int16.
+WIDE = [
+    "battery_percent",
+]
+
+
+@pytest.fixture(scope="session")
+def wide(tmp_path_factory):
+    """Two copies of the events with shifted keys, in which ids don't rise with time, and two values beyond int16."""
+    d = str(tmp_path_factory.mktemp("wide"))
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    value = "CASE WHEN event_id = 500 AND k = 1 THEN 700.5 WHEN event_id = 700 THEN 2000 ELSE value END AS value"
+    c.execute(f"COPY (SELECT event_id + 1000 * k AS event_id, ts + to_microseconds(137 * k) AS ts, user_id, event_type, {value}, props FROM '{SF}/events.parquet', range(2) AS t(k) ORDER BY 1) TO '{d}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    return d, c
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_values_beyond_int16(spark, wide, name):
+    """Against the query's SQL with a metric of 32 bits; as it stands the SQL refuses such values wherever it needs them."""
+    d, c = wide
+    got = engine.QUERIES[name](spark, d).toPandas()
+    if name not in engine.ORACLES:
+        assert got.groupby("key").size().tolist() == [10] * 4 and got.groupby("key")["seen"].first().sum() == 2000
+        return
+    sql = engine.ORACLES[name].replace("CAST(floor(value * 50) AS SMALLINT)", "CAST(floor(value * 50) AS INTEGER)").replace("& 131071", "")
+    want = c.execute(sql).df()
+    cols = sorted(got.columns)
+    key = lambda df: sorted(tuple(f"{x:.6f}" if isinstance(x, float | np.floating) else str(x) for x in r) for r in df[cols].itertuples(index=False))
+    assert cols == sorted(want.columns) and key(got) == key(want)
+
+
 def test_registry_names():
     r = standard()
     assert r["raw"].hop_us == 40_000 and r["predictions"].columns == ("a", "b", "c", "d")

@@ -33,8 +33,8 @@ def query(sql: str | None = None):
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """Events with UTC times and the metric v = floor(50 value) as int16."""
-    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.floor(F.col("value") * 50).cast("short").alias("v"))
+    """Events with UTC times and the metric v = floor(50 value), whole beyond int16 too; results that are int16 narrow it themselves."""
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.floor(F.col("value") * 50).cast("int").alias("v"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def by_id(df: DataFrame, *cols: str) -> DataFrame:
 @query(f"WITH {E} SELECT event_id, us, v FROM ev WHERE us >= {START}000000 AND us < {END}000000")
 def timerange_scan(spark, d):
     rows = store.with_partitions(events(spark, d), EVENTS)
-    return store.in_range(rows, EVENTS, START, END).select("event_id", F.unix_micros("ts").alias("us"), "v")
+    return store.in_range(rows, EVENTS, START, END).select("event_id", F.unix_micros("ts").alias("us"), F.col("v").cast("short").alias("v"))
 
 
 @query(f"""WITH {E}, p AS (SELECT *, us - us % 86400000000 AS b FROM ev)
@@ -110,7 +110,7 @@ def out_of_order_rows(spark, d):
 def last_2h(spark, d):
     rows = store.with_partitions(events(spark, d), EVENTS)
     end = store.info(rows, EVENTS).first()["end"]
-    return store.in_range(rows, EVENTS, end - 7200, end).select("event_id", "v")
+    return store.in_range(rows, EVENTS, end - 7200, end).select("event_id", F.col("v").cast("short").alias("v"))
 
 
 @query(f"WITH {SAMPLES} SELECT r, 'x' AS series, x AS value FROM samples UNION ALL SELECT r, 'y', y FROM samples UNION ALL SELECT r, 'z', z FROM samples")
