@@ -29,6 +29,15 @@ def battery_percent(mv: Column) -> Column:
     return F.when(mv <= BATTERY_EMPTY, 0).when(mv >= BATTERY_FULL, 100).otherwise(share)
 
 
+def words(value: Column) -> tuple[Column, Column]:
+    """The high and the low half of a 32-bit whole number, for tables and files of int16 columns."""
+    return F.shiftright(value, 16).cast("short"), (value.bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short")
+
+
+def of_words(high: Column, low: Column) -> Column:
+    return high.cast("long") * 0x10000 + low.cast("long") + 0x8000
+
+
 def set_bit(value: Column, bit: int) -> Column:
     return value.bitwiseOR(F.lit(1 << bit))
 
