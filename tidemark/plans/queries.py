@@ -340,10 +340,12 @@ def kmeans_clusters(spark, d):
 def store_append_query(spark, d):
     """Events appended to a partitioned table, then read back by a pruned range query."""
     registry = Registry()
-    registry.add(Resource("events", ("v", "k"), 1_000_000, "date"))
+    registry.add(Resource("events", ("high", "low", "k"), 1_000_000, "date"))
     s = store.Store(spark, shared(spark, "store"), registry)
-    s.append("events", events(spark, d).withColumn("k", (F.col("event_id") % 7).cast("short")))
-    return s.query("events", START, END).groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    high, low = scalars.words(F.col("v"))
+    s.append("events", events(spark, d).select("ts", high.alias("high"), low.alias("low"), (F.col("event_id") % 7).cast("short").alias("k")))
+    v = scalars.of_words(F.col("high"), F.col("low"))
+    return s.query("events", START, END).groupBy(F.col("k").cast("long").alias("k")).agg(F.count("*").alias("n"), F.sum(v).alias("total"))
 
 
 @query(f"""WITH {E}, p AS (SELECT us, us >= {START + 1800}000000 AND us < {END - 1800}000000 AS taken FROM ev WHERE us // 86400000000 BETWEEN {START // 86400} AND {(END - 1801) // 86400})
