@@ -44,6 +44,7 @@ def test_query(spark, con, name):
 #: Queries over every event's metric, which a value of 655.36 or more takes out of int16.
 WIDE = [
     "battery_percent",
+    "partition_keys_hour",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",
