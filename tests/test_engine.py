@@ -45,6 +45,7 @@ def test_query(spark, con, name):
 WIDE = [
     "battery_percent",
     "partition_keys_hour",
+    "stream_count_features",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",

@@ -364,12 +364,16 @@ def store_query_counters(spark, d):
     return spark.createDataFrame([tuple(got[c] for c in names)], ", ".join(f"{c} long" for c in names))
 
 
-def _event_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream of files in a folder of its own, written in the order of time: files stream by age."""
+def _event_stream(spark: SparkSession, d: str, by_id: bool = False) -> DataFrame:
+    """The events table as a stream of files in a folder of its own, written in the order of time, or of event_id: files stream by age."""
     path = shared(spark, "events_stream")
     rows = events(spark, d)
-    for day in range(0, 32, 8):
-        rows.where(F.dayofmonth("ts").between(day, day + 7)).coalesce(1).write.mode("append").parquet(path)
+    part = F.floor(F.dayofmonth("ts") / 8)
+    if by_id:
+        low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+        part = F.least(F.floor((F.col("event_id") - (low or 0)) / ((high or 0) - (low or 0) + 1) * 4), F.lit(3))  # rises with the id; null is last
+    for n in range(4):
+        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -403,7 +407,7 @@ SELECT key, w, CAST(trunc(mx / size * 16384) AS INT) AS orient_x, CAST(trunc(my
 @query(STREAM_FEATURES_SQL)
 def stream_count_features(spark, d):
     """The seven features of count windows over the event stream, eight devices apart."""
-    events_ = _event_stream(spark, d)
+    events_ = _event_stream(spark, d, by_id=True)
     source = _axes(events_, "user_id", "event_id").select((F.col("user_id") % 8).alias("key"), "ts", F.col("event_id").alias("i"), "x", "y", "z")
     out = stream.to_table(stream.count_features(source, 20, 5), "append", shared(spark, "stream_state"), shared(spark, "stream_out"))
     return out.drop("ts", "batch")
