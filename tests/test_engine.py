@@ -46,6 +46,7 @@ WIDE = [
     "battery_percent",
     "partition_keys_hour",
     "stream_count_features",
+    "stream_reservoir",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",
