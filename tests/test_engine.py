@@ -47,6 +47,7 @@ WIDE = [
     "partition_keys_hour",
     "stream_count_features",
     "stream_reservoir",
+    "zigzag_delta",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",

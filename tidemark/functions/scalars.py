@@ -10,12 +10,12 @@ BATTERY_EMPTY, BATTERY_FULL = 2600, 4350
 
 
 def zigzag(delta: Column) -> Column:
-    """A signed 17-bit difference as an unsigned one with small numbers for small differences."""
-    return F.shiftleft(delta, 1).bitwiseXOR(F.shiftright(delta, 16)).bitwiseAND(F.lit(0x1FFFF))
+    """A signed difference as an unsigned one with small numbers for small differences: 17 bits hold those of int16 values, 32 bits any."""
+    return F.shiftleft(delta, 1).bitwiseXOR(F.shiftright(delta, 31))
 
 
 def unzigzag(code: Column) -> Column:
-    return F.shiftright(code, 1).bitwiseXOR(-code.bitwiseAND(F.lit(1)))
+    return F.shiftrightunsigned(code, 1).bitwiseXOR(-code.bitwiseAND(F.lit(1)))
 
 
 def battery_mv(high: Column, low: Column) -> Column:
