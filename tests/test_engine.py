@@ -48,6 +48,7 @@ WIDE = [
     "stream_count_features",
     "stream_reservoir",
     "zigzag_delta",
+    "delta_decode_roundtrip",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",
