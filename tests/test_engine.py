@@ -49,6 +49,7 @@ WIDE = [
     "stream_reservoir",
     "zigzag_delta",
     "delta_decode_roundtrip",
+    "partition_keys_minute",
     "store_append_query",
     "samples_append_roundtrip",
     "store_query_counters",
