@@ -52,6 +52,7 @@ WIDE = [
     "partition_keys_minute",
     "store_append_query",
     "stream_count_windows",
+    "stream_time_windows",
     "samples_append_roundtrip",
     "store_query_counters",
 ]
