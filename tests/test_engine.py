@@ -53,6 +53,7 @@ WIDE = [
     "store_append_query",
     "stream_count_windows",
     "stream_time_windows",
+    "partition_keys_date",
     "samples_append_roundtrip",
     "store_query_counters",
 ]
