@@ -56,6 +56,7 @@ WIDE = [
     "partition_keys_date",
     "samples_append_roundtrip",
     "store_query_counters",
+    "stream_features",
 ]
 
 
