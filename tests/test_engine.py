@@ -57,6 +57,7 @@ WIDE = [
     "samples_append_roundtrip",
     "store_query_counters",
     "stream_features",
+    "timerange_dense_rows",
 ]
 
 
