@@ -471,6 +471,27 @@ def test_language_id_refuses_too_many_languages(spark, monkeypatch):
     assert len(langid.train(df.where("lang <> 'fr'"), "text", "lang").languages) == 2
 
 
+def test_language_model_is_fitted_off_the_driver(spark, monkeypatch):
+    """The sample and the fit's arrays stay out of the driver, and the model is the one that a fit here gives."""
+    from tidemark.llm import langid
+
+    rows = [("the thing was for that", "en"), ("der die das nicht ein", "de"), ("the thing was for that", "en"), (None, "de"), ("was ist das", "de")]
+    want = langid.fit({"en": ["the thing was for that"], "de": sorted(["der die das nicht ein", "was ist das"])})
+
+    def in_a_task(samples, fit=langid.fit):
+        from pyspark import TaskContext
+
+        assert TaskContext.get() is not None, "fitted on the driver"
+        return fit(samples)
+
+    monkeypatch.setattr(langid, "fit", in_a_task)
+    got = langid.train(spark.createDataFrame(rows, "text string, lang string"), "text", "lang")
+    assert got.languages == want.languages == ["de", "en"]
+    for a, b in zip([*got.prob, *got.back], [*want.prob, *want.back], strict=True):
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    assert (got.floor == want.floor).all() and (got.usual == want.usual).all() and (got.spread == want.spread).all() and (got.shuffled == want.shuffled).all()
+
+
 def test_language_id_of_numerals_marks_ties_and_long_texts(spark):
     from tidemark.llm import langid
 

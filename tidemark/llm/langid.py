@@ -11,6 +11,7 @@ expectation, drawn by text hash. Everything else covers all rows.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,13 +20,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chunks, claim, fold, texts
+from tidemark.llm.common import chunks, claim, fold, texts, tidy
 from tidemark.llm.words import Lookup, mix
 
 ORDER = 4
 SAMPLE = 1200
 LANGUAGES = 1000
 MEMORY = 400_000
+#: Bytes of the fitted model in a row on its way to the driver.
+PIECE = 16 << 20
 
 #: A letter, then letters and the marks that combine with them.
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -183,7 +186,7 @@ def _far(model: Model, j, h: np.ndarray, chars: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Model:
-    """Fit on a sample of rows with text and language; rare languages give all their rows.
+    """Fit, in one task, on a sample of rows with text and language; rare languages give all their rows.
 
     More than LANGUAGES languages are an error: the model's arrays have a column for each of them.
     """
@@ -195,11 +198,26 @@ def train(docs: DataFrame, text: str, lang: str, sample: int = SAMPLE) -> Model:
     pick = F.lit(False)
     for r in sizes:
         pick = pick | ((F.col("lang") == r["lang"]) & (place < int(min(1.0, sample / r["count"]) * (1 << 20))))
-    samples: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
-    if sizes:
-        for r in rows.where(pick).dropDuplicates(["text", "lang"]).toLocalIterator():
-            samples[r["lang"]].append(r["text"])
-    return fit({k: sorted(v) for k, v in samples.items()})
+    names = [r["lang"] for r in sizes]
+    if not names:
+        return fit({})
+
+    def learn(batches):
+        """The model, pickled, in numbered pieces."""
+        claim("langid", lambda: None)
+        samples: dict[str, list[str]] = {k: [] for k in names}
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                samples[k].append(t)
+        data = pickle.dumps(fit({k: sorted(v) for k, v in samples.items()}), pickle.HIGHEST_PROTOCOL)
+        samples.clear()
+        tidy()
+        for i, at in enumerate(range(0, len(data), PIECE)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([data[at : at + PIECE]], pa.binary())], ["i", "piece"])
+
+    # one task fits, as the sample is bounded: the driver gets the model alone
+    got = rows.where(pick).dropDuplicates(["text", "lang"]).select("lang", "text").repartition(1).mapInArrow(learn, "i long, piece binary").collect()
+    return pickle.loads(b"".join(r["piece"] for r in sorted(got, key=lambda r: r["i"]))) if got else fit({k: [] for k in names})
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
