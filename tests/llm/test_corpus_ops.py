@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 pa = pytest.importorskip("pyarrow")
 P = pytest.importorskip("public_tokenizers")
@@ -716,3 +718,27 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
         assert name == "bpe" or got.columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert got.columns == [c for c in docs.columns if c not in ("text", "ids")] + ["ids", "n_tokens", "round_trip"] and got.where("not round_trip").count() == 0
+
+
+def test_encode_needs_little_memory_beside_a_filled_executor():
+    """The pipeline's last stage, in one worker: what it needs beyond its encoder and its batch, at its most."""
+    from tidemark.llm import bpe
+
+    class Table:
+        columns, schema = ["text"], StructType().add("text", StringType())
+        drop = lambda self, *_: self
+        mapInArrow = lambda self, run, schema: run
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(20_000)])
+    docs = [" ".join(words[rng.integers(0, len(words), 500)]) for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs)], ["text"])
+    run = bpe.encode(Table(), BPE, round_trip="same")
+    bpe._worker(BPE)
+    tracemalloc.start()
+    rows = same = 0
+    for b in run([batch]):
+        rows, same = rows + b.num_rows, same + b.column(2).true_count
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 6_000_000 and rows == same == len(docs) and peak < 60_000_000

@@ -29,6 +29,8 @@ from tidemark.llm.units import Units
 
 #: Bytes of remembered pieces, with their ids, before a worker starts afresh; pieces of more than LONG bytes aren't remembered.
 KNOWN_BYTES, LONG = 24 << 20, 200
+#: Bytes of text that `encode` works on at once, fewer than elsewhere: its workers stand beside an executor that earlier stages have filled.
+PART_BYTES = 512 << 10
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -288,7 +290,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", round
     def run(batches):
         claim("bpe", _worker.cache_clear)
         for whole in batches:
-            for b in chunks(whole, text):
+            for b in chunks(whole, text, PART_BYTES):
                 col = b.column(b.schema.get_field_index(text))
                 flat, ends = _worker(path)(col)
                 more, names = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))], [ids]
