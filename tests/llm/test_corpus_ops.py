@@ -742,3 +742,16 @@ def test_encode_needs_little_memory_beside_a_filled_executor():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert batch.nbytes > 6_000_000 and rows == same == len(docs) and peak < 60_000_000
+
+
+def test_language_fit_needs_little_memory_beside_a_filled_executor():
+    from tidemark.llm import langid
+
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghij"))
+    samples = {k: [" ".join("".join(w) for w in letters[rng.integers(0, 10, (2000, 9))]) for _ in range(12)] for k in ("a", "b")}
+    tracemalloc.start()
+    model = langid.fit(samples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["a", "b"] and [len(h) for h, _ in model.prob] == [11, 120, 1210, 12110] and peak < 40_000_000

@@ -303,6 +303,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", round
                     more.append(pa.array([back[p:q] == text_bytes[x:y] for p, q, x, y in zip(sizes[:-1].tolist(), sizes[1:].tolist(), off[:-1].tolist(), off[1:].tolist(), strict=True)]))
                     names.append(round_trip)
                 yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, *names])
+            whole = b = col = None  # gone before the next batch is read
 
     return df.mapInArrow(run, schema)
 

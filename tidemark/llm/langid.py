@@ -27,6 +27,8 @@ ORDER = 4
 SAMPLE = 1200
 LANGUAGES = 1000
 MEMORY = 400_000
+#: Words whose n-grams are taken at once, and bytes of text: a worker stands beside an executor that earlier stages have filled.
+WORDS, PART_BYTES = 5_000, 512 << 10
 #: Bytes of the fitted model in a row on its way to the driver.
 PIECE = 16 << 20
 
@@ -77,8 +79,8 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """Natural log probability of each word with its end, by language."""
         out = np.zeros((len(words), len(self.m.languages)), np.float32)
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
+        for a in range(0, len(words), WORDS):
+            part = words[a : a + WORDS]
             g, of = grams(part)
             at = np.flatnonzero(of >= 0)
             p = np.repeat(self.m.floor[None, :], len(at), 0).astype(np.float32)
@@ -114,46 +116,59 @@ class Scorer:
         return total, chars
 
 
+def _distinct(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of pieces (rows of a place's n-grams by order and then their contexts, weights) one row for each longest n-gram, which fixes the others, with its whole weight."""
+    rows, weight = np.hstack([r for r, _ in parts]), np.concatenate([w for _, w in parts])
+    _, first, inverse = np.unique(rows[ORDER - 1], return_index=True, return_inverse=True)
+    return rows[:, first], np.bincount(inverse, weight)
+
+
+def _places(count: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of the words, as _distinct gives them; the context of an order stands ORDER - 1 rows below its n-gram."""
+    words, weights = list(count), np.array(list(count.values()), np.float64)
+    held = np.zeros((2 * ORDER - 1, 0), np.uint64), np.zeros(0)
+    for a in range(0, len(words), WORDS):
+        g, of = grams(words[a : a + WORDS])
+        at = np.flatnonzero(of >= 0)
+        new = _distinct([(np.stack([*(x[at] for x in g), *(x[at - 1] for x in g[:-1])]), weights[a + of[at]])])
+        held = _distinct([held, new])
+    return held
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
     """samples: texts by language. Kneser-Ney counts come from the distinct words weighted by their occurrences."""
     languages = sorted(samples)
     n = len(languages)
-    prob: list[list[dict]] = [[] for _ in range(ORDER)]
     tables = []
     for lang in languages:
         count: dict[str, int] = {}
         for t in samples[lang]:
             for w in LETTERS.findall(t.lower()):
                 count[w] = count.get(w, 0) + 1
-        words = list(count)
-        g, of = grams(words) if words else ([np.zeros(0, np.uint64)] * ORDER, np.zeros(0, np.int64))
-        at = np.flatnonzero(of >= 0)
-        weight = np.array(list(count.values()), np.float64)[of[at]] if words else np.zeros(0)
-        tables.append((g, at, weight))
-    del prob
+        tables.append(_places(count))
     alpha, gamma = [], []
     floor = np.zeros(n)
-    alphabet = max(2, len(np.unique(np.concatenate([g[0][at] for g, at, _ in tables])))) if tables else 2
+    alphabet = max(2, len(np.unique(np.concatenate([g[0] for g, _ in tables])))) if tables else 2
     for order in range(ORDER):
-        keys = np.unique(np.concatenate([g[order][at] for g, at, _ in tables])) if tables else np.zeros(0, np.uint64)
+        keys = np.unique(np.concatenate([g[order] for g, _ in tables])) if tables else np.zeros(0, np.uint64)
         mass = np.zeros((len(keys), n), np.float32)
-        contexts = np.unique(np.concatenate([g[order - 1][at - 1] for g, at, _ in tables])) if order and tables else np.zeros(1, np.uint64)
+        contexts = np.unique(np.concatenate([g[ORDER - 1 + order] for g, _ in tables])) if order and tables else np.zeros(1, np.uint64)
         left = np.ones((len(contexts), n), np.float32)
-        for j, (g, at, weight) in enumerate(tables):
-            if not len(at):
+        for j, (g, weight) in enumerate(tables):
+            if not len(weight):
                 continue
-            here = g[order][at]
+            here = g[order]
             if order == ORDER - 1:
                 own, first, inverse = np.unique(here, return_index=True, return_inverse=True)
                 c = np.bincount(inverse, weight)
             else:  # in how many left neighbours the n-gram continues
-                longer, at_longer = np.unique(g[order + 1][at], return_index=True)
+                longer, at_longer = np.unique(g[order + 1], return_index=True)
                 own, first, inverse = np.unique(here[at_longer], return_index=True, return_inverse=True)
                 first = at_longer[first]
                 c = np.bincount(inverse).astype(float)
             once, twice = (c == 1).sum(), (c == 2).sum()
             d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-            ctx = g[order - 1][at - 1][first] if order else np.zeros(len(own), np.uint64)
+            ctx = g[ORDER - 1 + order][first] if order else np.zeros(len(own), np.uint64)
             names, where = np.unique(ctx, return_inverse=True)
             total, kinds = np.bincount(where, c), np.bincount(where)
             mass[np.searchsorted(keys, own), j] = np.maximum(c - d, 0) / total[where]
@@ -167,7 +182,8 @@ def fit(samples: dict[str, list[str]]) -> Model:
     model = Model(languages, alpha, gamma, floor, np.zeros(n), np.ones(n), np.ones(n))
     scorer = Scorer(model)
     for j, lang in enumerate(languages):
-        total, chars = scorer.texts(samples[lang])
+        scored = [scorer.texts(samples[lang][a : a + 100]) for a in range(0, max(1, len(samples[lang])), 100)]
+        total, chars = (np.concatenate(x) for x in zip(*scored, strict=True))
         keep = chars > 0
         if keep.any():
             h = -total[keep, j] / chars[keep]
@@ -238,7 +254,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         m: Model = share.value
         scorer = Scorer(m)
         for whole in batches:
-            for b in chunks(whole, "__text"):
+            for b in chunks(whole, "__text", PART_BYTES):
                 total, chars = scorer.texts(texts(b.column(b.num_columns - 1)))
                 n = b.num_rows
                 if m.languages:
@@ -252,6 +268,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                     h, sure, far, names = np.zeros(n), np.zeros(n), np.ones(n, bool), ["und"] * n
                 none = chars == 0
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(np.where(none, 0.0, sure)), pa.array(np.where(none, 0.0, h)), pa.array(far | none)], [*b.schema.names[:-1], *new])
+            whole = b = None  # gone before the next batch is read
 
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
