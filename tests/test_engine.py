@@ -88,6 +88,39 @@ def test_values_beyond_int16(spark, wide, name):
     assert cols == sorted(want.columns) and key(got) == key(want)
 
 
+#: Queries that need no narrower metric than 64 bits.
+FAR = [
+    "partition_keys_hour",
+    # far: more
+]
+
+
+@pytest.fixture(scope="session")
+def far(tmp_path_factory):
+    """Events of which one's metric is beyond 32 bits, and some have no value or no time; ids leave gaps of more than 100,000."""
+    d = str(tmp_path_factory.mktemp("far"))
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    odd = "event_id + event_id // 300 * 250000 AS event_id, CASE WHEN event_id = 70 THEN NULL ELSE ts END AS ts, CASE WHEN event_id = 700 THEN 5e7 WHEN event_id % 50 = 9 THEN NULL ELSE value END AS value"
+    c.execute(f"COPY (SELECT * REPLACE ({odd}) FROM '{SF}/events.parquet') TO '{d}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    return d, c
+
+
+@pytest.mark.parametrize("name", FAR)
+def test_values_beyond_32_bits_and_nulls(spark, far, name):
+    """Against the query's SQL with a metric of 64 bits."""
+    d, c = far
+    got = engine.QUERIES[name](spark, d).toPandas()
+    if name not in engine.ORACLES:
+        assert got.groupby("key").size().tolist() == [10] * 4 and got.groupby("key")["seen"].first().sum() == 1000
+        return
+    want = c.execute(engine.ORACLES[name].replace("AS SMALLINT", "AS BIGINT").replace("CAST(v AS INT)", "v")).df()
+    cols = sorted(got.columns)
+    key = lambda df: sorted(tuple("" if str(x) in ("None", "nan", "<NA>") else f"{x:.6f}" if isinstance(x, int | float | np.number) else str(x) for x in r) for r in df[cols].itertuples(index=False))
+    assert cols == sorted(want.columns) and key(got) == key(want)
+
+
 def test_registry_names():
     r = standard()
     assert r["raw"].hop_us == 40_000 and r["predictions"].columns == ("a", "b", "c", "d")

@@ -35,7 +35,7 @@ def partition_values(us: Column, granularity: str) -> dict[str, Column]:
 
 def partition_path(us: Column, granularity: str) -> Column:
     values = partition_values(us, granularity)
-    return F.concat_ws("/", *(F.concat(F.lit(f"{c}="), v) for c, v in values.items()))
+    return F.concat(*(F.concat(F.lit(f"{'/' * bool(i)}{c}="), v) for i, (c, v) in enumerate(values.items())))  # null where there is no time
 
 
 def parts(ts: Column) -> dict[str, Column]:

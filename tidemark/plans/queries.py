@@ -33,8 +33,9 @@ def query(sql: str | None = None):
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
-    """Events with UTC times and the metric v = floor(50 value), whole beyond int16 too; results that are int16 narrow it themselves."""
-    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", F.floor(F.col("value") * 50).cast("int").alias("v"))
+    """Events with UTC times and the metric v = floor(50 value) in 64 bits, an error beyond; results that are narrower narrow it themselves."""
+    v = F.when(F.abs("value") < float(1 << 57), F.floor(F.col("value") * 50)).otherwise((F.col("value") * 50).cast("long"))  # floor alone would cut what 64 bits don't hold
+    return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", v.alias("v"))
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -408,7 +409,7 @@ SELECT key, w, CAST(trunc(mx / size * 16384) AS INT) AS orient_x, CAST(trunc(my
 def stream_count_features(spark, d):
     """The seven features of count windows over the event stream, eight devices apart."""
     events_ = _event_stream(spark, d, by_id=True)
-    source = _axes(events_, "user_id", "event_id").select((F.col("user_id") % 8).alias("key"), "ts", F.col("event_id").alias("i"), "x", "y", "z")
+    source = _axes(events_, "user_id", "event_id").select((F.col("user_id") % 8).alias("key"), "ts", F.col("event_id").alias("i"), F.col("x").cast("int").alias("x"), "y", "z")
     out = stream.to_table(stream.count_features(source, 20, 5), "append", shared(spark, "stream_state"), shared(spark, "stream_out"))
     return out.drop("ts", "batch")
 
