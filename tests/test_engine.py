@@ -91,6 +91,7 @@ def test_values_beyond_int16(spark, wide, name):
 #: Queries that need no narrower metric than 64 bits.
 FAR = [
     "partition_keys_hour",
+    "stream_reservoir",
     # far: more
 ]
 

@@ -365,17 +365,18 @@ def store_query_counters(spark, d):
     return spark.createDataFrame([tuple(got[c] for c in names)], ", ".join(f"{c} long" for c in names))
 
 
-def _event_stream(spark: SparkSession, d: str, by_id: bool = False) -> DataFrame:
-    """The events table as a stream of files in a folder of its own, written in the order of time, or of event_id: files stream by age."""
+def _event_stream(spark: SparkSession, d: str, by_id: bool = False, only: tuple[str, ...] = ()) -> DataFrame:
+    """The events table, or its columns `only`, as a stream of files in a folder of its own, written in the order of time, or of event_id: files stream by age."""
     path = shared(spark, "events_stream")
     rows = events(spark, d)
-    part = F.floor(F.dayofmonth("ts") / 8)
+    part = F.coalesce(F.floor(F.dayofmonth("ts") / 8), F.lit(3))  # null is last
     if by_id:
         low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
         part = F.least(F.floor((F.col("event_id") - (low or 0)) / ((high or 0) - (low or 0) + 1) * 4), F.lit(3))  # rises with the id; null is last
+    own = rows.select(*only) if only else rows
     for n in range(4):
-        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(part == n).select(*own.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query(f"""WITH {E}, w AS (SELECT value, unnest(range((us - 14400000000) // 3600000000 + 1, us // 3600000000 + 1)) AS w FROM ev)
@@ -449,7 +450,7 @@ def stream_features(spark, d):
 
 @query()
 def stream_reservoir(spark, d):
-    source = _event_stream(spark, d).select((F.col("user_id") % 4).alias("key"), F.col("event_id").alias("x"))
+    source = _event_stream(spark, d, only=("user_id", "event_id")).select((F.col("user_id") % 4).alias("key"), F.col("event_id").alias("x"))
     got = stream.to_table(stream.reservoirs(source, 10, seed=2), "update", shared(spark, "stream_state"), shared(spark, "stream_out"))
     return got.withColumn("top", F.max("seen").over(Window.partitionBy("key"))).where("seen = top").select("key", "seen", "x")
 
