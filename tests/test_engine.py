@@ -92,6 +92,7 @@ def test_values_beyond_int16(spark, wide, name):
 FAR = [
     "partition_keys_hour",
     "stream_reservoir",
+    "delta_decode_roundtrip",
     # far: more
 ]
 
@@ -122,6 +123,11 @@ def test_values_beyond_32_bits_and_nulls(spark, far, name):
     assert cols == sorted(want.columns) and key(got) == key(want)
 
 
+def test_delta_decode_of_no_events(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert engine.QUERIES["delta_decode_roundtrip"](spark, str(tmp_path)).count() == 0
+
+
 def test_registry_names():
     r = standard()
     assert r["raw"].hop_us == 40_000 and r["predictions"].columns == ("a", "b", "c", "d")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 BATTERY_EMPTY, BATTERY_FULL = 2600, 4350
 
 
-def zigzag(delta: Column) -> Column:
-    """A signed difference as an unsigned one with small numbers for small differences: 17 bits hold those of int16 values, 32 bits any."""
-    return F.shiftleft(delta, 1).bitwiseXOR(F.shiftright(delta, 31))
+def zigzag(delta: Column, bits: int = 32) -> Column:
+    """A signed difference of 32 or 64 bits as an unsigned one with small numbers for small differences: 17 bits hold those of int16 values."""
+    return F.shiftleft(delta, 1).bitwiseXOR(F.shiftright(delta, bits - 1))
 
 
 def unzigzag(code: Column) -> Column:

@@ -11,17 +11,18 @@ from tidemark.operators.prefix import before_each
 
 
 def with_previous(df: DataFrame, r: str, columns: list[str], chunk: int = 100_000) -> DataFrame:
-    """df with p_<column>: the value of the row numbered one less.
+    """df with p_<column>: the value of the row before in the order of r, null for the first; numbers may be left out.
 
-    Rows are grouped in chunks of numbers; the last row of each is joined in front of the next chunk.
+    Rows are grouped in chunks of numbers; the last row of each is joined in front of the next chunk that has rows.
     """
     part = df.withColumn("__c", whole_div(F.col(r).cast("long"), chunk))
-    tail = part.where(F.pmod(F.col(r), F.lit(chunk)) == chunk - 1).select((F.col("__c") + 1).alias("__c"), *(F.col(c).alias(f"__t_{c}") for c in columns))
+    last = part.groupBy("__c").agg(F.max(F.struct(r, *columns)).alias("__last"))
+    tail = before_each(last, "__c", "__last", F.max, "__before").select("__c", *(F.col(f"__before.{c}").alias(f"__t_{c}") for c in columns))
     window = Window.partitionBy("__c").orderBy(r)
-    out = part.join(tail, "__c", "left")
+    out = part.join(tail, "__c", "left").withColumn("__first", F.row_number().over(window) == 1)
     for c in columns:
-        out = out.withColumn(f"p_{c}", F.coalesce(F.lag(c).over(window), F.col(f"__t_{c}")))
-    return out.drop("__c", *(f"__t_{c}" for c in columns))
+        out = out.withColumn(f"p_{c}", F.when(F.col("__first"), F.col(f"__t_{c}")).otherwise(F.lag(c).over(window)))
+    return out.drop("__c", "__first", *(f"__t_{c}" for c in columns))
 
 
 def long_form(df: DataFrame, r: str, columns: list[str]) -> DataFrame:
@@ -61,17 +62,17 @@ def recommendation(estimate: DataFrame) -> DataFrame:
     return out.select("raw_bytes", "packed_bytes", ratio.alias("ratio"), F.when(ratio > 1.5, "good").when(ratio > 0.9, "marginal").otherwise("worse").alias("verdict"))
 
 
-def zigzag_deltas(df: DataFrame, r: str, column: str) -> DataFrame:
-    """r, value, delta to the row before (0 for the first) and its zigzag code."""
-    ready = with_previous(df.select(r, F.col(column).cast("int").alias("value")), r, ["value"])
-    delta = F.coalesce(F.col("value") - F.col("p_value"), F.lit(0))
-    return ready.select(r, "value", delta.alias("delta"), zigzag(delta).alias("code"))
+def zigzag_deltas(df: DataFrame, r: str, column: str, kind: str = "int") -> DataFrame:
+    """r, value, delta to the row before (0 for the first) and its zigzag code, all three int or long."""
+    ready = with_previous(df.select(r, F.col(column).cast(kind).alias("value")), r, ["value"])
+    delta = F.coalesce(F.col("value") - F.col("p_value"), F.lit(0).cast(kind))
+    return ready.select(r, "value", delta.alias("delta"), zigzag(delta, {"int": 32, "long": 64}[kind]).alias("code"))
 
 
 def undo_deltas(df: DataFrame, r: str, seed: int, chunk: int = 100_000) -> DataFrame:
-    """r and value from differences and the first value: running sums within chunks, on the sums of the chunks before."""
+    """r and value, of the differences' type, from differences and the first value: running sums within chunks, on the sums of the chunks before."""
     part = df.withColumn("__c", whole_div(F.col(r).cast("long"), chunk))
     sums = part.groupBy("__c").agg(F.sum("delta").alias("__s"))
     before = before_each(sums, "__c", "__s", F.sum, "__b").select("__c", F.coalesce("__b", F.lit(0)).alias("__b"))
     run = F.sum("delta").over(Window.partitionBy("__c").orderBy(r).rowsBetween(Window.unboundedPreceding, 0))
-    return part.withColumn("__run", run).join(before, "__c").select(r, (F.lit(seed) + F.col("__b") + F.col("__run")).cast("int").alias("value"))
+    return part.withColumn("__run", run).join(before, "__c").select(r, (F.lit(seed) + F.col("__b") + F.col("__run")).cast(df.schema["delta"].dataType).alias("value"))

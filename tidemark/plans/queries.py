@@ -214,10 +214,12 @@ def zigzag_delta(spark, d):
 
 @query(f"WITH {ZIGZAG} SELECT r, value FROM z")
 def delta_decode_roundtrip(spark, d):
-    coded = profile.zigzag_deltas(events(spark, d).withColumnRenamed("event_id", "r"), "r", "v")
-    seed = coded.orderBy("r").first()["value"]
+    """Differences of the values that there are; events without one have no code and stay without."""
+    rows = events(spark, d).select(F.col("event_id").alias("r"), "v")
+    coded = profile.zigzag_deltas(rows.where("v IS NOT NULL"), "r", "v", "long")
+    first = coded.orderBy("r").first()
     back = coded.select("r", scalars.unzigzag(F.col("code")).alias("delta"))
-    return profile.undo_deltas(back, "r", seed)
+    return profile.undo_deltas(back, "r", first["value"] if first else 0).unionByName(rows.where("v IS NULL").withColumnRenamed("v", "value"))
 
 
 COV = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
