@@ -384,7 +384,7 @@ def _event_stream(spark: SparkSession, d: str, by_id: bool = False, only: tuple[
 @query(f"""WITH {E}, w AS (SELECT value, unnest(range((us - 14400000000) // 3600000000 + 1, us // 3600000000 + 1)) AS w FROM ev)
 SELECT w * 3600000000 AS start_us, w * 3600000000 + 14400000000 AS end_us, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY w""")
 def stream_time_windows(spark, d):
-    out = stream.time_totals(_event_stream(spark, d), "4 hours", "1 hour", "1 day")
+    out = stream.time_totals(_event_stream(spark, d, only=("ts", "value")), "4 hours", "1 hour", "1 day")
     got = stream.to_table(out, "complete", shared(spark, "stream_state"), shared(spark, "stream_out"))
     return got.select(F.unix_micros("window_start").alias("start_us"), F.unix_micros("window_end").alias("end_us"), "n", F.round("total", 4).alias("total"))
 
