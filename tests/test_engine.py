@@ -96,6 +96,7 @@ FAR = [
     "partition_keys_minute",
     "stream_time_windows",
     "partition_keys_date",
+    "stream_features",
     # far: more
 ]
 

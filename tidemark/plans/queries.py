@@ -431,7 +431,7 @@ def samples_append_roundtrip(spark, d):
 
 
 def _axes(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(*more, "ts", F.col("v").cast("int").alias("x"), F.pmod("event_id", F.lit(100)).cast("int").alias("y"), F.lit(50).alias("z"))
+    return df.select(*more, "ts", F.col("v").alias("x"), F.pmod("event_id", F.lit(100)).cast("int").alias("y"), F.lit(50).alias("z"))
 
 
 @query(f"""WITH {E}, e AS (SELECT CAST(v AS BIGINT) AS x, event_id % 100 AS y, 50 AS z, unnest(range((us - 14400000000) // 3600000000 + 1, us // 3600000000 + 1)) AS w FROM ev),

@@ -83,7 +83,8 @@ def time_features(stream: DataFrame, width: str, hop: str, full: int | None = No
     if full:
         held = held.where(F.col("n") == full)
     n = F.col("n")
-    moved = F.aggregate("v", F.lit(0).cast("long"), lambda a, v: a + F.abs(n * v["x"] - F.col("sx")) + F.abs(n * v["y"] - F.col("sy")) + F.abs(n * v["z"] - F.col("sz")))
+    far = lambda v: F.abs(n * v["x"] - F.col("sx")) + F.abs(n * v["y"] - F.col("sy")) + F.abs(n * v["z"] - F.col("sz"))
+    moved = F.aggregate("v", F.lit(None).cast("long"), lambda a, v: F.coalesce(a + far(v), a, far(v)))  # a sample without all three adds nothing
     spread = F.floor(moved / (n * n * 32)).cast("int")
     return held.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), n, *feature_columns(n, [F.col(f"s{a}") for a in "xyz"], spread))
 
