@@ -128,6 +128,25 @@ def test_values_beyond_32_bits_and_nulls(spark, far, name):
     assert cols == sorted(want.columns) and key(got) == key(want)
 
 
+#: Queries that give the total of a partition's metric.
+TOTALS = [
+    "partition_keys_minute",
+    # totals: more
+]
+
+
+@pytest.mark.parametrize("name", TOTALS)
+def test_totals_whose_parts_leave_64_bits(spark, tmp_path, name):
+    """Metrics of 8.5e18 and -8.5e18 in one minute, half of each: any two of one sign are beyond 64 bits, the total is 0."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    odd = "TIMESTAMP '2024-01-01 05:00:01' + to_microseconds(event_id) AS ts, CASE WHEN event_id % 4 < 2 THEN 1.7e17 ELSE -1.7e17 END AS value"
+    c.execute(f"COPY (SELECT * REPLACE ({odd}) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.execute(f"SELECT path, n, total FROM ({engine.ORACLES[name].replace('AS SMALLINT', 'AS BIGINT')})").fetchall()
+    assert [tuple(r) for r in engine.QUERIES[name](spark, str(tmp_path)).select("path", "n", "total").collect()] == want and want[0][1:] == (1000, 0)
+
+
 def test_delta_decode_of_no_events(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert engine.QUERIES["delta_decode_roundtrip"](spark, str(tmp_path)).count() == 0

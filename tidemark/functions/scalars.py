@@ -38,6 +38,11 @@ def of_words(high: Column, low: Column) -> Column:
     return high.cast("long") * 0x10000 + low.cast("long") + 0x8000
 
 
+def total(value: Column) -> Column:
+    """The sum of 64-bit whole numbers; only a whole sum beyond 64 bits is an error, whatever its parts come to."""
+    return F.sum(value.cast("decimal(19,0)")).cast("long")
+
+
 def set_bit(value: Column, bit: int) -> Column:
     return value.bitwiseOR(F.lit(1 << bit))
 

@@ -78,7 +78,7 @@ def timerange_dense_rows(spark, d):
 def _keys(granularity: str):
     def run(spark, d):
         path = timeparts.partition_path(F.unix_micros("ts"), granularity)
-        return events(spark, d).groupBy(path.alias("path")).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+        return events(spark, d).groupBy(path.alias("path")).agg(F.count("*").alias("n"), scalars.total(F.col("v")).alias("total"))
 
     run.__name__ = f"partition_keys_{granularity}"
     form = {"date": "date=%Y-%m-%d", "hour": "date=%Y-%m-%d/hour=%H", "minute": "date=%Y-%m-%d/hour=%H/min=%M"}[granularity]
