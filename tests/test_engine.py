@@ -131,6 +131,7 @@ def test_values_beyond_32_bits_and_nulls(spark, far, name):
 #: Queries that give the total of a partition's metric.
 TOTALS = [
     "partition_keys_minute",
+    "partition_keys_date",
     # totals: more
 ]
 
@@ -147,6 +148,18 @@ def test_totals_whose_parts_leave_64_bits(spark, tmp_path, name):
     assert [tuple(r) for r in engine.QUERIES[name](spark, str(tmp_path)).select("path", "n", "total").collect()] == want and want[0][1:] == (1000, 0)
 
 
+@pytest.mark.parametrize("name", ["partition_keys_date"])
+@pytest.mark.parametrize("years", [10_000, -2_030, -2_124, 270_000])
+def test_paths_of_years_beyond_four_digits(spark, tmp_path, name, years):
+    """Against the query's SQL as it stands; half of the events keep their year."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    c.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN ts ELSE ts + to_years({years}) END AS ts) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.execute(f"SELECT path, n, total FROM ({engine.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in engine.QUERIES[name](spark, str(tmp_path)).select("path", "n", "total").collect()) == sorted(want)
+
+
 def test_delta_decode_of_no_events(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert engine.QUERIES["delta_decode_roundtrip"](spark, str(tmp_path)).count() == 0

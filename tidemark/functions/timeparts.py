@@ -26,10 +26,16 @@ def partition_start_us(us: Column, granularity: str) -> Column:
     return us - F.pmod(us, F.lit(partition_us(granularity)))
 
 
+def date_text(ts: Column) -> Column:
+    """yyyy-mm-dd; years before 0 and beyond 9999 as they are, without a plus or leading zeros."""
+    year = F.year(ts)
+    return F.when(year.between(0, 9999), F.date_format(ts, "yyyy-MM-dd")).otherwise(F.concat(year.cast("string"), F.date_format(ts, "-MM-dd")))
+
+
 def partition_values(us: Column, granularity: str) -> dict[str, Column]:
     """date (yyyy-mm-dd), hour and min (two digits), as far as the granularity goes."""
     ts = F.timestamp_micros(us)
-    every = {"date": F.date_format(ts, "yyyy-MM-dd"), "hour": F.date_format(ts, "HH"), "min": F.date_format(ts, "mm")}
+    every = {"date": date_text(ts), "hour": F.date_format(ts, "HH"), "min": F.date_format(ts, "mm")}
     return {c: every[c] for c in PARTITION_COLUMNS[granularity]}
 
 

@@ -10,7 +10,7 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeparts import micros, partition_start_us, partition_us, partition_values, row_index, whole_div
+from tidemark.functions.timeparts import date_text, micros, partition_start_us, partition_us, partition_values, row_index, whole_div
 from tidemark.operators.prefix import before_each
 from tidemark.plans.registry import Registry, Resource
 from tidemark.plans.tables import written
@@ -56,7 +56,7 @@ def partition_predicate(resource: Resource, start_s: int, end_s: int):
         return F.lit(False)
     key = F.concat_ws("/", *cols) if len(cols) > 1 else F.col(cols[0])
     text = lambda s: F.concat_ws("/", *partition_values(F.lit(s * 1_000_000), resource.granularity).values())
-    day = lambda s: F.date_format(F.timestamp_micros(F.lit(s * 1_000_000)), "yyyy-MM-dd")
+    day = lambda s: date_text(F.timestamp_micros(F.lit(s * 1_000_000)))
     return (F.col("date") >= day(start_s)) & (F.col("date") <= day(end_s - 1)) & (key >= text(start_s)) & (key <= text(end_s - 1))
 
 
