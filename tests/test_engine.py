@@ -160,6 +160,48 @@ def test_paths_of_years_beyond_four_digits(spark, tmp_path, name, years):
     assert sorted(tuple(r) for r in engine.QUERIES[name](spark, str(tmp_path)).select("path", "n", "total").collect()) == sorted(want)
 
 
+def changed(tmp_path, odd, order="event_id"):
+    """A folder of events with some columns replaced, and DuckDB on them."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    c.execute(f"COPY (SELECT * REPLACE ({odd}) FROM '{SF}/events.parquet' ORDER BY {order}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    return str(tmp_path), c
+
+
+def dense(spark, d):
+    return sorted((tuple(r) for r in engine.QUERIES["timerange_dense_rows"](spark, d).select("event_id", "row_idx", "us", "v").collect()))
+
+
+def test_dense_rows_of_infinite_times(spark, tmp_path):
+    """Against the query's SQL as it stands, in which infinite times have no number: 100 of each."""
+    d, c = changed(tmp_path, "CASE event_id % 10 WHEN 3 THEN 'infinity' WHEN 7 THEN '-infinity' ELSE ts END AS ts")
+    got, want = dense(spark, d), sorted(c.execute(f"SELECT event_id, row_idx, us, v FROM ({engine.ORACLES['timerange_dense_rows']})").fetchall())
+    timed = lambda rows: [r for r in rows if r[2] is not None]
+    assert timed(got) == timed(want) and len(timed(got)) == 800
+    rest = lambda rows: sorted((r[0], r[3]) for r in rows if r[2] is None)
+    assert rest(got) == rest(want) and sorted(r[1] for r in got if r[2] is None) == list(range(200))
+
+
+def test_dense_rows_of_one_time_go_by_id(spark, tmp_path):
+    d, c = changed(tmp_path, "date_trunc('hour', ts) AS ts", "md5(event_id::VARCHAR)")
+    sql = engine.ORACLES["timerange_dense_rows"].replace("ORDER BY us)", "ORDER BY us, event_id)")
+    assert dense(spark, d) == sorted(c.execute(f"SELECT event_id, row_idx, us, v FROM ({sql})").fetchall())
+
+
+@pytest.mark.parametrize("value", ["184467440737095516.15", "'inf'", "'nan'", "-2e17"])  # 50 times the first is 2 ** 63
+def test_a_metric_beyond_64_bits_is_an_error(spark, tmp_path, value):
+    d, _ = changed(tmp_path, f"CASE WHEN event_id = 5 THEN {value}::DOUBLE ELSE value END AS value")
+    with pytest.raises(Exception, match="beyond 64 bits|CAST_OVERFLOW"):
+        dense(spark, d)
+
+
+def test_the_largest_metrics_are_whole(spark, tmp_path):
+    d, _ = changed(tmp_path, "CASE event_id WHEN 5 THEN 184467440737095488 WHEN 6 THEN -184467440737095516.16 ELSE value END AS value")
+    v = {r[0]: r[3] for r in dense(spark, d)}
+    assert (v[5], v[6]) == (int(184467440737095488.0 * 50), int(-184467440737095516.16 * 50)) and v[5] < 1 << 63
+
+
 def test_delta_decode_of_no_events(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert engine.QUERIES["delta_decode_roundtrip"](spark, str(tmp_path)).count() == 0

@@ -22,11 +22,16 @@ def with_partitions(df: DataFrame, resource: Resource, ts: str = "ts") -> DataFr
     return df.withColumn("row_idx", row_index(us, resource.granularity, resource.hop_us)).withColumns(partition_values(us, resource.granularity))
 
 
-def dense_rows(df: DataFrame, resource: Resource, ts: str = "ts") -> DataFrame:
-    """Rows packed from the start of their partition, gaps closed: row_idx counts, and ts follows from it."""
+def dense_rows(df: DataFrame, resource: Resource, ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows packed from the start of their partition, gaps closed: row_idx counts, and ts follows from it.
+
+    Rows of one time go in the order of `ties`, in any without. Infinite times, which DuckDB writes as the ends of 64
+    bits, count as none.
+    """
     us = micros(F.col(ts))
+    us = F.when(us.between(2 - (1 << 63), (1 << 63) - 2), us)
     start = partition_start_us(us, resource.granularity)
-    place = F.row_number().over(Window.partitionBy("__start").orderBy("__us")) - 1
+    place = F.row_number().over(Window.partitionBy("__start").orderBy("__us", *ties)) - 1
     out = df.withColumn("__us", us).withColumn("__start", start).withColumn("row_idx", place.cast("long"))
     moved = F.timestamp_micros(F.col("__start") + F.col("row_idx") * resource.hop_us)
     return out.withColumn(ts, moved).withColumns(partition_values(F.col("__start"), resource.granularity)).drop("__us", "__start")

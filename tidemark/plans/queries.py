@@ -34,7 +34,9 @@ def query(sql: str | None = None):
 
 def events(spark: SparkSession, d: str) -> DataFrame:
     """Events with UTC times and the metric v = floor(50 value) in 64 bits, an error beyond; results that are narrower narrow it themselves."""
-    v = F.when(F.abs("value") < float(1 << 57), F.floor(F.col("value") * 50)).otherwise((F.col("value") * 50).cast("long"))  # floor alone would cut what 64 bits don't hold
+    v = F.col("value") * 50
+    beyond = F.raise_error(F.concat(F.lit("a metric is beyond 64 bits: "), v.cast("string")))  # floor would cut it, and the cast cuts 2 ** 63
+    v = F.when(F.abs("value") < float(1 << 57), F.floor(v)).when(v >= float(1 << 63), beyond).otherwise(v.cast("long"))
     return table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", v.alias("v"))
 
 
@@ -72,7 +74,8 @@ def timerange_floor_rows(spark, d):
 @query(f"""WITH {E}, n AS (SELECT event_id, v, us - us % 3600000000 AS b, row_number() OVER (PARTITION BY us - us % 3600000000 ORDER BY us) - 1 AS row_idx FROM ev)
 SELECT event_id, row_idx, b + row_idx * 1000000 AS us, v FROM n""")
 def timerange_dense_rows(spark, d):
-    return store.dense_rows(events(spark, d), EVENTS).select("event_id", "row_idx", F.unix_micros("ts").alias("us"), "v")
+    """Events of one time, which the SQL leaves in any order, are numbered by event_id."""
+    return store.dense_rows(events(spark, d), EVENTS, ties=("event_id",)).select("event_id", "row_idx", F.unix_micros("ts").alias("us"), "v")
 
 
 def _keys(granularity: str):
