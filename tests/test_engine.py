@@ -169,6 +169,14 @@ def changed(tmp_path, odd, order="event_id"):
     return str(tmp_path), c
 
 
+@pytest.mark.parametrize("name", ["partition_keys_date", "partition_keys_hour", "partition_keys_minute"])
+def test_paths_of_infinite_times(spark, tmp_path, name):
+    """Against the query's SQL as it stands."""
+    d, c = changed(tmp_path, "CASE event_id % 10 WHEN 3 THEN 'infinity' WHEN 7 THEN '-infinity' ELSE ts END AS ts")
+    want = c.execute(f"SELECT path, n, total FROM ({engine.ORACLES[name]})").fetchall()
+    assert sorted(tuple(r) for r in engine.QUERIES[name](spark, d).select("path", "n", "total").collect()) == sorted(want)
+
+
 def dense(spark, d):
     return sorted((tuple(r) for r in engine.QUERIES["timerange_dense_rows"](spark, d).select("event_id", "row_idx", "us", "v").collect()))
 

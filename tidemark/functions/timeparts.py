@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PARTITION_SECONDS = {"date": 86400, "hour": 3600, "minute": 60}
 #: Partition columns by granularity, coarse to fine.
 PARTITION_COLUMNS = {"date": ["date"], "hour": ["date", "hour"], "minute": ["date", "hour", "min"]}
+#: Microseconds that DuckDB writes for an infinite time; with a minus for the other end.
+INFINITE_US = (1 << 63) - 1
 
 
 def partition_us(granularity: str) -> int:
@@ -40,8 +42,10 @@ def partition_values(us: Column, granularity: str) -> dict[str, Column]:
 
 
 def partition_path(us: Column, granularity: str) -> Column:
+    """The folders of a moment's partition; null where there is no time, infinity or -infinity where it is infinite."""
     values = partition_values(us, granularity)
-    return F.concat(*(F.concat(F.lit(f"{'/' * bool(i)}{c}="), v) for i, (c, v) in enumerate(values.items())))  # null where there is no time
+    path = F.concat(*(F.concat(F.lit(f"{'/' * bool(i)}{c}="), v) for i, (c, v) in enumerate(values.items())))
+    return F.when(us == INFINITE_US, "infinity").when(us == -INFINITE_US, "-infinity").otherwise(path)
 
 
 def parts(ts: Column) -> dict[str, Column]:

@@ -10,7 +10,7 @@ from operator import and_, or_
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timeparts import date_text, micros, partition_start_us, partition_us, partition_values, row_index, whole_div
+from tidemark.functions.timeparts import INFINITE_US, date_text, micros, partition_start_us, partition_us, partition_values, row_index, whole_div
 from tidemark.operators.prefix import before_each
 from tidemark.plans.registry import Registry, Resource
 from tidemark.plans.tables import written
@@ -29,7 +29,7 @@ def dense_rows(df: DataFrame, resource: Resource, ts: str = "ts", ties: tuple[st
     bits, count as none.
     """
     us = micros(F.col(ts))
-    us = F.when(us.between(2 - (1 << 63), (1 << 63) - 2), us)
+    us = F.when(us.between(1 - INFINITE_US, INFINITE_US - 1), us)
     start = partition_start_us(us, resource.granularity)
     place = F.row_number().over(Window.partitionBy("__start").orderBy("__us", *ties)) - 1
     out = df.withColumn("__us", us).withColumn("__start", start).withColumn("row_idx", place.cast("long"))
